@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, lines, mixing, near, substring
+from . import chat, decontam, exact, lines, mixing, near, pii, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +37,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=80)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_minhash_near": op4_minhash_near, "op5_mixing": op5_mixing, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_minhash_near": op4_minhash_near, "op5_mixing": op5_mixing, "op7_pii": op7_pii, "op8_decontam": op8_decontam, "op10_exact_dedup": op10_exact_dedup}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -84,6 +96,14 @@ r as (select d.doc_id, d.size, e.source_size, e.target, e.times, e.target - e.ti
   from d join e on d.source is not distinct from e.source)
 select doc_id, cast(size as bigint) as size, source_size, target,
   cast(size * (times + case when rest > 0 and upto - size / 2 <= rest then 1 else 0 end) as bigint) as taken from r""",
+    "op8_decontam": r"""
+with w as (
+  select 'd' as kind, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+  union all select 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') from benchmark),
+g as (select distinct kind, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' '))) as g from w where len(w) > 0),
+n as (select id, count(*) as n_item from g where kind = 'b' group by id),
+s as (select d.id as doc_id, b.id as item_id, count(*) as n_shared from g d join g b on d.g = b.g where d.kind = 'd' and b.kind = 'b' group by 1, 2)
+select doc_id, item_id, n_shared, n_item from s join n on s.item_id = n.id where 100 * n_shared >= 80 * n_item""",
     "op10_exact_dedup": r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
