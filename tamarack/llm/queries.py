@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, lines, mixing, near, pii, substring
+from . import chat, decontam, exact, lines, mixing, near, pii, quality, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, _read(spark, sf_dir, "labels"), threshold=0.3).drop("text")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(_read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
@@ -49,11 +54,27 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=80)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality(docs, _read(spark, sf_dir, "labels"), threshold=0.7).drop("text")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_minhash_near": op4_minhash_near, "op5_mixing": op5_mixing, "op7_pii": op7_pii, "op8_decontam": op8_decontam, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_minhash_near": op4_minhash_near,
+    "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
+    "op7_pii": op7_pii,
+    "op8_decontam": op8_decontam,
+    "op9_quality": op9_quality,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
