@@ -40,8 +40,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return per.withColumn("level", level).select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, whole: bool = False) -> DataFrame:
-    """One row per input row: ``<id>, size, source_size, target, taken``; with ``whole`` all columns and ``copies``, of rows that are taken.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, rows_only: bool = False) -> DataFrame:
+    """One row per input row: ``<id>, size, source_size, target, taken``; with ``rows_only`` all columns and ``copies``, of rows that are taken.
 
     Every document is taken ``floor(target / source_size)`` times; for what is
     left of the target, each source's documents whose hash is up to a threshold
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per = targets.join(ends, F.col("source").eqNullSafe(F.col("e")), "left").select(F.col("source").alias("s"), "source_size", "target", "times", "limit", "with")
     more = F.coalesce((F.col("hash") < F.col("limit")) | ((F.col("hash") == F.col("limit")) & F.col("with")), F.lit(False))
     times = F.col("times") + more.cast("long")
-    if whole:
+    if rows_only:
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own).join(per, F.col("source").eqNullSafe(F.col("s")))
         return rows.where((F.col("size") > 0) & (times > 0)).select("row.*", times.alias("copies"))
     return sizes.join(per, F.col("source").eqNullSafe(F.col("s"))).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"))
