@@ -34,7 +34,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, ``copies`` times each."""
-    return mixing.mix(docs, weights=(5, 2, 1), most=3, whole=True)
+    return mixing.mix(docs, weights=(5, 2, 1), most=3, rows_only=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
