@@ -18,7 +18,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), _RUNS, " ")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_bytes: int = 32, growth: int = 8) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_bytes: int = 256, growth: int = 8) -> DataFrame:
     """One row per input row: ``<id>, keep_id, group_size, kept, text_sha256``.
 
     Rounds of MSD radix partitioning over the bytes of the normalised text. A
