@@ -81,81 +81,104 @@ def _sets_of(size: int):
     return run
 
 
-def _confirm(threshold: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yes = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                yes.append(100 * shared >= threshold * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
-
-    return run
-
-
-def _sigs(column: pa.Array) -> np.ndarray:
+def _sigs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _VALUES)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def _alike(x: int, y: np.ndarray, n: np.ndarray, sig: np.ndarray, threshold: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of y sizes and signatures let be linked with x, and how many values they share with it."""
+    y = y[100 * np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x])]
+    equal = (sig[y] == sig[x]).sum(1)
+    return y[equal >= least], equal[equal >= least]
 
 
-def _neighbours(threshold: int):
-    """From rows sorted by bucket and size: each row with the one before it and with the first of its bucket that this task has."""
+def _forest(threshold: int):
+    """From rows sorted by block: pairs that span what sizes and signatures let be linked, fewer than rows."""
     least = _least_equal(threshold)
 
+    def spanned(cid: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left = np.arange(len(cid))
+        while len(left) > 1:
+            stack, left = [int(left[0])], left[1:]
+            while stack and len(left):
+                x = stack.pop()
+                y, _ = _alike(x, left, n, sig, threshold, least)
+                yield np.full(len(y), cid[x]), cid[y]
+                stack += y.tolist()
+                left = left[~np.isin(left, y)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = first = None
-        for batch in batches:
-            if not batch.num_rows:
+        rest = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)] + [_sigs(batch.column(5))]
+                rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            if rest is None or not len(rest[0]):
                 continue
-            b, cid, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            sig = _sigs(batch.column(3))
-            if last is not None:
-                b, cid, n, sig = (np.concatenate([x, y, z]) for x, y, z in zip(first, last, (b, cid, n, sig), strict=True))
-            at = np.arange(len(b))
-            new = np.concatenate([[True], b[1:] != b[:-1]])
-            lead = np.maximum.accumulate(np.where(new, at, 0))
-            out_a, out_b = [], []
-            for other in (np.maximum(at - 1, 0), lead):
-                own = np.flatnonzero((b[other] == b) & (other != at) & (cid[other] != cid) & (100 * np.minimum(n, n[other]) >= threshold * np.maximum(n, n[other])))
-                own = own[(sig[own] == sig[other[own]]).sum(1) >= least]
-                out_a.append(cid[own])
-                out_b.append(cid[other[own]])
-            keep = lambda i: tuple(x[i : i + 1] for x in (b, cid, n, sig))
-            first, last = keep(int(lead[-1])), keep(len(b) - 1)
-            yield _pairs(np.concatenate(out_a), np.concatenate(out_b))
+            b, i, j, cid, n, sig = rest
+            same = np.concatenate([[False], (b[1:] == b[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])])
+            begin = np.flatnonzero(~same)
+            whole = len(b) if batch is None else int(begin[-1])
+            chain = same[:whole].copy()
+            at = np.flatnonzero(chain)
+            fits = 100 * np.minimum(n[at], n[at - 1]) >= threshold * np.maximum(n[at], n[at - 1])
+            chain[at] = fits & ((sig[at] == sig[at - 1]).sum(1) >= least)
+            broken = np.unique(np.searchsorted(begin, np.flatnonzero(same[:whole] & ~chain), "right") - 1)
+            out = [(cid[:whole][chain], cid[:whole][np.flatnonzero(chain) - 1])]
+            ends = np.append(begin[1:], len(b))
+            for g in broken.tolist():
+                part = slice(begin[g], ends[g])
+                out += spanned(cid[part], n[part], sig[part])
+            rest = [x[whole:] for x in rest]
+            u, v = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
 
     return run
 
 
-def _across(threshold: int, most: int):
-    """Pairs of one block of a bucket whose components differ; up to ``most`` for each row, ``cut`` where there were more."""
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _confirm(threshold: int):
+    """Of one block of a cluster: links that join what whole sets link, fewer than rows."""
     least = _least_equal(threshold)
 
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        if len(x) > len(y):
+            x, y = y, x
+        at = np.searchsorted(y, x)
+        shared = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
+        return 100 * shared >= threshold * (len(x) + len(y) - shared)
+
     def run(table: pa.Table) -> pa.Table:
-        cid, n, comp, side = (table.column(c).to_numpy() for c in ("cid", "n", "comp", "side"))
-        sig = _sigs(table.column("sig"))
-        one = not (side == 1).any()
-        order = np.arange(len(cid))
-        big = np.bincount(np.unique(comp, return_inverse=True)[1])
-        crowd = np.unique(comp)[np.argmax(big)]
-        left = np.flatnonzero((comp != crowd) if one else (side == 0))
-        out = []
-        for x in left:
-            y = np.flatnonzero((comp != comp[x]) & ((comp == crowd) | (order > x) if one else side == 1) & (100 * np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x])))
-            y = y[(sig[y] == sig[x]).sum(1) >= least]
-            out += [(min(cid[x], cid[z]), max(cid[x], cid[z]), len(y) > most) for z in y[:most]]
-        a, b, cut = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], ["a", "b", "cut"])
+        cid, n, side = (table.column(c).to_numpy() for c in ("cid", "n", "side"))
+        sig, sets_ = _sigs(table.column("sig")), [np.frombuffer(v, np.uint64) for v in table.column("members").to_pylist()]
+        label, every, out = np.arange(len(cid)), np.arange(len(cid)), []
+        across = (side == 1).any()
+        for x in np.flatnonzero(side == 0).tolist():
+            y = np.flatnonzero((label != label[x]) & ((side == 1) if across else (every > x)))
+            y, equal = _alike(x, y, n, sig, threshold, least)
+            for z in y[np.argsort(-equal, kind="stable")].tolist():
+                if label[z] != label[x] and linked(sets_[x], sets_[z]):
+                    out.append((min(cid[x], cid[z]), max(cid[x], cid[z])))
+                    label[label == label[z]] = label[x]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def blocks(rows: DataFrame, key: str, sizes: DataFrame, most: int) -> DataFrame:
+    """Rows of each key dealt into all pairs (i, j) of its blocks of about ``most`` rows; ``side`` is 1 for rows of the larger one."""
+    of = sizes.select(F.col(key).alias("of"), F.ceil(F.col("m") / most).cast("int").alias("nb"))
+    dealt = rows.join(of, F.col(key) == F.col("of")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
+    return dealt.select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+
+
 def components(links: DataFrame, path: str) -> DataFrame:
     """``node, root`` of all linked nodes, root the smallest reachable: large and small stars in turn until nothing changes."""
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{path}-0")
@@ -182,13 +205,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     it has fewer. Texts whose sets reach ``threshold`` per cent of their union
     are linked, ``component_id`` is the smallest id reachable.
 
-    Equal sets are one class, told apart by a 128-bit sum. Of the classes that
-    share a band, each is first paired with two others of its bucket, which
-    joins what is dense with as many pairs as rows. Then, until nothing is
-    left, pairs of one bucket whose components still differ follow, up to so
-    many for each row, eight times as many in the next round. Before whole
-    sets are compared, pairs whose sizes or signatures rule the threshold out
-    go. Large buckets are compared in blocks over many tasks.
+    Equal sets are one class, told apart by a 128-bit sum. Classes that share a
+    band and whose sizes and signatures leave the threshold within reach (six
+    standard deviations) form clusters; each bucket adds the pairs that span
+    it, fewer than its rows. Within a cluster whole sets decide, and again only
+    links that join components are made. Large buckets and clusters are
+    compared in blocks over many tasks; a pair whose ends a task has joined
+    already is not compared. No cap ends the search.
 
     Null and empty texts have size 0, no links and their own id. Ids may
     repeat; null ids come last, so that ``component_id`` is null only where
@@ -209,39 +232,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cand = band.join(shared.select("b"), "b", "left_semi")
     cand = stash(cand.join(classes.select("cid", "sig"), "cid").select("b", "cid", "n", "sig"), f"{top}/cand")
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cand.repartitionByRange(parts, "b", "n", "cid").sortWithinPartitions("b", "n", "cid")
-    pairs = stash(ordered.mapInArrow(_neighbours(threshold), "a long, b long").distinct(), f"{top}/pairs0")
+    # clusters: what sizes and signatures let be linked; a bucket gives fewer pairs than it has rows
+    dealt = blocks(cand, "b", cand.groupBy("b").agg(F.count(F.lit(1)).alias("m")), _BLOCK).select("b", "i", "j", "cid", "n", "sig")
+    dealt = dealt.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "n", "cid")
+    pairs = stash(dealt.mapInArrow(_forest(threshold), "a long, b long").distinct(), f"{top}/pairs")
+    clusters = stash(components(pairs, f"{top}/near"), f"{top}/clusters")
+    clusters = clusters.unionAll(clusters.select(F.col("root"), "root").distinct())
 
-    # the sets of all classes that share a band: one pass over the texts
-    need = cand.select("cid").distinct().join(classes, "cid").select("cid", "rep", F.col("th").alias("h"))
+    # the sets of the clusters' classes, compared in blocks
+    need = clusters.join(classes, F.col("node") == F.col("cid")).select("cid", "rep", F.col("th").alias("h"))
     texts = rows.join(need.hint("shuffle_hash"), (F.col("th") == F.col("h")) & F.col("id").eqNullSafe(F.col("rep"))).select("cid", "text")
-    members = stash(texts.mapInArrow(_sets_of(size), "cid long, members binary"), f"{top}/members")
-
-    def linked(pairs: DataFrame, k: int) -> DataFrame:
-        left, right = members.select(F.col("cid").alias("a"), F.col("members").alias("x")), members.select(F.col("cid").alias("b"), F.col("members").alias("y"))
-        whole = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return stash(whole.mapInArrow(_confirm(threshold), "a long, b long"), f"{top}/links{k}")
-
-    tried, links, most, k = pairs, linked(pairs, 0), 4, 0
-    while True:
-        roots = stash(components(links, f"{top}/stars{k}"), f"{top}/roots{k}")
-        comp = F.coalesce("root", "cid")
-        at = cand.join(roots, F.col("cid") == F.col("node"), "left").select("b", "cid", "n", "sig", comp.alias("comp"))
-        mixed_ = at.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-        blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
-        at = at.join(mixed_.select(F.col("b").alias("bb"), blocks.alias("nb")), F.col("b") == F.col("bb")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")))
-        at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        at = at.select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "cid", "n", "sig", "comp")
-        found = at.groupBy("b", "i", "j").applyInArrow(_across(threshold, most), "a long, b long, cut boolean")
-        found = stash(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), f"{top}/found{k}")
-        k += 1
-        fresh = stash(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"{top}/pairs{k}")
-        if fresh.isEmpty() and found.where("cut").isEmpty():
-            break
-        links = links.unionAll(linked(fresh, k))
-        tried = tried.unionAll(fresh)
-        most *= 8
+    members = texts.mapInArrow(_sets_of(size), "cid long, members binary")
+    full = clusters.join(classes.select("cid", "n", "sig"), F.col("node") == F.col("cid")).drop("cid").join(members, F.col("node") == F.col("cid")).select("root", "cid", "n", "sig", "members")
+    full = blocks(stash(full, f"{top}/full"), "root", clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m")), _BLOCK // 4)
+    links = stash(full.groupBy("root", "i", "j").applyInArrow(_confirm(threshold), "a long, b long"), f"{top}/links")
+    roots = stash(components(links, f"{top}/linked"), f"{top}/roots")
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select(*key, "rep", F.coalesce("root", "cid").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
     placed = placed.join(least, "comp").select(*[F.col(c).alias(f"c_{c}") for c in key], "component_id")
