@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack import functions as fn
-from tamarack.operators import context, deltas, stats, text
+from tamarack.functions import texts
+from tamarack.operators import context, deltas, search, stats, text
 from tamarack.sources import events_as_calls, table
 
 QUERIES: dict = {}
@@ -272,3 +273,52 @@ def tabular_encode(spark, d):
     rows = table(spark, d, "nation").agg(F.array_sort(F.collect_list(row)).alias("a"))
     head = F.concat(F.lit("nation ["), F.size("a"), F.lit("]{n_nationkey|n_name|n_regionkey}:\n"))
     return rows.select(F.concat(head, F.array_join(F.col("a.line"), "\n")).alias("encoded"))
+
+
+_LINES = "unnest(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10))))))"
+
+
+@query(rf"""with l as (select doc_id as id, z[1] as line, cast(z[2] as integer) as pos from (select doc_id, {_LINES} as z from documents)),
+t as (select id, pos, line, list_filter(list_distinct(regexp_split_to_array(lower(line), '[^a-z0-9_]+')), lambda x: x in ('der', 'und', 'oution', 'license')) as t, count(*) over (partition by id) as n from l),
+h as (select id, pos, n, line, unnest(t) as q from t), w as (select id, pos, line, ln(1 + n / (1.0 + count(*) over (partition by id, q))) as w from h),
+s as (select id, pos, line, sum(w) as score, row_number() over (partition by id order by round(sum(w), 9) desc, pos) as place from w group by id, pos, line)
+select id, pos, length(line) as n_chars, cast(round(score * 1000) as bigint) as score from s where place <= 3""")
+def tfidf_top_lines(spark, d):
+    best = search.best_lines(table(spark, d, "documents"), "Find the license of der und oution", 3)
+    return best.select("id", "pos", F.length("line").cast("long").alias("n_chars"), F.round(F.col("score") * 1000).cast("long").alias("score"))
+
+
+_HITS = "len(list_filter(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9_]+'), lambda x: length(x) > 1), lambda x: starts_with(x, '{1}') or (starts_with('{1}', x) and {2})))"
+
+
+@query("with s as (select p_partkey, cast(" + " + ".join(f"{n} * {_HITS.format(c, q, len(q) >= 4)}" for q in ("large", "bolt", "promotion") for n, c in ((3, "p_name"), (1, "p_type"))) + """ as bigint) as score from part)
+select * from s where score > 0 order by score desc, p_partkey limit 20""")
+def tool_search_topk(spark, d):
+    return search.best_tools(table(spark, d, "part"), "Large bolt, promotion", 20, "p_name", "p_type", "p_partkey")
+
+
+_FACTS = ", ".join("{{'category': '{}', 'fact': regexp_extract(coalesce(text, ''), '{}', 1, 'i')}}".format(c, p.replace("'", "''")) for c, p in texts.FACTS)
+
+
+@query(rf"""with f as (select doc_id, unnest([{_FACTS}]) as f from documents)
+select doc_id, f.category as category, regexp_replace(regexp_replace(f.fact, '^\s+|\s+$', '', 'g'), '[.!,;]+$', '') as fact from f where f.fact <> ''""")
+def facts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(texts.facts(F.col("text"))).alias("f")).select("doc_id", "f.category", "f.fact")
+
+
+@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
+select doc_id, cast(sum(length(line) - length(regexp_extract(line, '^( *)', 1)) // 2 + 1) - 1 as bigint) as n_chars from l group by doc_id""")
+def indent_compress(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.length(texts.compress_indent(F.col("text"))).cast("long").alias("n_chars"))
+
+
+@query(r"""with h as (select doc_id, text, substring(text, 1, 120) as h from documents), c as (select *, regexp_extract(h, '(?s)^(.*[.!?])', 1) as s, regexp_extract(h, '(?s)^(.*)\s', 1) as w from h)
+select doc_id, case when length(text) <= 120 then text else regexp_replace(case when s <> '' then s when w <> '' then w else h end, '\s+$', '') || '…' end as short from c""")
+def sentence_truncation(spark, d):
+    return table(spark, d, "documents").select("doc_id", texts.truncate_at_sentence(F.col("text"), 120).alias("short"))
+
+
+@query("""with s as (select o_orderkey, o_orderkey * 1737 // 1000 as s from orders) select o_orderkey, case when s < 60 then s || 's'
+else concat_ws(' ', case when s >= 3600 then (s // 3600) || 'h' end, (s % 3600 // 60) || 'm', case when s % 60 > 0 then (s % 60) || 's' end) end as took from s""")
+def duration_format(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", texts.format_duration(F.col("o_orderkey") * 1737).alias("took"))
