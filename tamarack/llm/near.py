@@ -170,13 +170,15 @@ def _confirm(threshold: int):
     return run
 
 
-def blocks(rows: DataFrame, key: str, sizes: DataFrame, most: int) -> DataFrame:
-    """Rows of each key dealt into all pairs (i, j) of its blocks of about ``most`` rows; ``side`` is 1 for rows of the larger one."""
-    of = sizes.select(F.col(key).alias("of"), F.ceil(F.col("m") / most).cast("int").alias("nb"))
-    dealt = rows.join(of, F.col(key) == F.col("of")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+def blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of keys with ``m`` rows each, dealt into all pairs (i, j) of the key's blocks of about ``most`` rows; ``side`` is 1 for rows of the larger one.
+
+    The size comes with each row, so that nothing here shuffles on the key alone.
+    """
+    dealt = rows.withColumn("nb", F.ceil(F.col("m") / most).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
-    return dealt.select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    return dealt.select(*[c for c in rows.columns if c != "m"], F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
 
 
 def components(links: DataFrame, path: str) -> DataFrame:
@@ -229,22 +231,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     band = classes.select("cid", "n", F.explode("bands").alias("b"))
     shared = band.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    cand = band.join(shared.select("b"), "b", "left_semi")
-    cand = stash(cand.join(classes.select("cid", "sig"), "cid").select("b", "cid", "n", "sig"), f"{top}/cand")
+    cand = stash(band.join(shared, "b").join(classes.select("cid", "sig"), "cid").select("b", "m", "cid", "n", "sig"), f"{top}/cand")
 
     # clusters: what sizes and signatures let be linked; a bucket gives fewer pairs than it has rows
-    dealt = blocks(cand, "b", cand.groupBy("b").agg(F.count(F.lit(1)).alias("m")), _BLOCK).select("b", "i", "j", "cid", "n", "sig")
+    dealt = blocks(cand, _BLOCK).select("b", "i", "j", "cid", "n", "sig")
     dealt = dealt.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "n", "cid")
     pairs = stash(dealt.mapInArrow(_forest(threshold), "a long, b long").distinct(), f"{top}/pairs")
     clusters = stash(components(pairs, f"{top}/near"), f"{top}/clusters")
     clusters = clusters.unionAll(clusters.select(F.col("root"), "root").distinct())
+    clusters = clusters.join(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root")
 
     # the sets of the clusters' classes, compared in blocks
     need = clusters.join(classes, F.col("node") == F.col("cid")).select("cid", "rep", F.col("th").alias("h"))
     texts = rows.join(need.hint("shuffle_hash"), (F.col("th") == F.col("h")) & F.col("id").eqNullSafe(F.col("rep"))).select("cid", "text")
     members = texts.mapInArrow(_sets_of(size), "cid long, members binary")
-    full = clusters.join(classes.select("cid", "n", "sig"), F.col("node") == F.col("cid")).drop("cid").join(members, F.col("node") == F.col("cid")).select("root", "cid", "n", "sig", "members")
-    full = blocks(stash(full, f"{top}/full"), "root", clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m")), _BLOCK // 4)
+    full = clusters.join(classes.select("cid", "n", "sig"), F.col("node") == F.col("cid")).drop("cid").join(members, F.col("node") == F.col("cid")).select("root", "m", "cid", "n", "sig", "members")
+    full = blocks(stash(full, f"{top}/full"), _BLOCK // 4)
     links = stash(full.groupBy("root", "i", "j").applyInArrow(_confirm(threshold), "a long, b long"), f"{top}/links")
     roots = stash(components(links, f"{top}/linked"), f"{top}/roots")
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select(*key, "rep", F.coalesce("root", "cid").alias("comp"))
