@@ -80,3 +80,28 @@ def adjacent_prefixes(values: DataFrame, value: str, least: int = 8) -> DataFram
     found = pair.select(F.substring("v", F.lit(1), size).alias("prefix")).where(F.length("prefix") >= least).distinct()
     ext = found.join(v, F.col("v").startswith(F.col("prefix")) & (F.substring("v", 1, least) == F.substring("prefix", 1, least)) & (F.col("v") != F.col("prefix")))
     return ext.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+
+
+def adjacent_suffixes(values: DataFrame, value: str, least: int = 6) -> DataFrame:
+    """``suffix, n``: as adjacent_prefixes, of the values read backwards."""
+    back = adjacent_prefixes(values.select(F.reverse(F.col(value)).alias("back")), "back", least)
+    return back.select(F.reverse("prefix").alias("suffix"), "n")
+
+
+def substring_candidates(values: DataFrame, value: str, widths: tuple[int, ...]) -> DataFrame:
+    """``part, n, tokens``: windows of each width that occur in so many distinct values that an alias pays: (tokens - 1) n > tokens + 3, n at least 2."""
+    v = values.select(F.col(value).alias("v")).where(F.col(value).isNotNull()).distinct()
+    windows = lambda w: F.when(F.length("v") >= w, F.transform(F.sequence(F.lit(1), F.length("v") - w + 1), lambda i: F.substring("v", i, F.lit(w)))).otherwise(F.array().cast("array<string>"))
+    every = v.select(F.explode(F.array_distinct(F.flatten(F.array(*map(windows, widths))))).alias("part"))
+    count = every.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").withColumn("tokens", estimate_tokens(F.col("part")))
+    return count.where((F.col("tokens") - 1) * F.col("n") > F.col("tokens") + 3)
+
+
+def blank_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Runs of two empty lines or more: ``id, start, n``, start counted from 0. Each text's runs are found in its own row, without a shuffle."""
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    blank = lambda i: F.coalesce(F.try_element_at("l", i) == "", F.lit(False))
+    begins = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: blank(i) & ((i == 1) | ~blank(F.greatest(i - 1, F.lit(1)))))
+    ends = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: blank(i) & ~blank(i + 1))
+    runs = docs.select(F.col(id_col).alias("id"), lines.alias("l")).select("id", F.explode(F.arrays_zip(begins.alias("b"), ends.alias("e"))).alias("r"))
+    return runs.select("id", (F.col("r.b") - 1).cast("long").alias("start"), (F.col("r.e") - F.col("r.b") + 1).cast("long").alias("n")).where("n >= 2")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack import functions as fn
-from tamarack.functions import texts
-from tamarack.operators import context, deltas, search, stats, text
+from tamarack.functions import lossy, privacy, texts
+from tamarack.operators import context, deltas, evaluation, search, stats, text
 from tamarack.sources import events_as_calls, table
 
 QUERIES: dict = {}
@@ -322,3 +322,104 @@ def sentence_truncation(spark, d):
 else concat_ws(' ', case when s >= 3600 then (s // 3600) || 'h' end, (s % 3600 // 60) || 'm', case when s % 60 > 0 then (s % 60) || 's' end) end as took from s""")
 def duration_format(spark, d):
     return table(spark, d, "orders").select("o_orderkey", texts.format_duration(F.col("o_orderkey") * 1737).alias("took"))
+
+
+# Existence only: a class of neighbours stands for the lookarounds that DuckDB lacks.
+_SEEN = {
+    "jwt": r"(^|[^A-Za-z0-9_])eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}($|[^A-Za-z0-9_])",
+    "aws-access-key": r"(^|[^A-Za-z0-9_])(AKIA|ASIA|AGPA|ANPA|AIDA|AROA|AIPA|ANVA|ABIA|ACCA)[A-Z0-9]{16}($|[^A-Za-z0-9_])",
+    "aws-secret-key": r"""(?i)aws[_-]?secret[_-]?access[_-]?key["'']?\s*[:=]\s*["'']?[A-Za-z0-9/+=]{40}($|[^A-Za-z0-9_])""",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}",
+    "ssn": r"(^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}($|[^0-9-])",
+    "ipv4": r"(^|[^A-Za-z0-9_.-])((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])($|[^A-Za-z0-9_.-])",
+    "phone": r"(^|[^A-Za-z0-9_+])\+?[0-9]{1,3}[-. ]?\(?[0-9]{2,4}\)?[-. ]?[0-9]{3,4}[-. ]?[0-9]{3,4}($|[^A-Za-z0-9_])",
+}
+
+
+@query("select " + ", ".join(f"""count(*) filter (regexp_matches(text, '{p}')) as "{k.replace('-', '_')}" """ for k, p in _SEEN.items()) + " from documents")
+def pii_presence_by_kind(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.agg(*[F.count_if(privacy.has(F.col("text"), k)).alias(k.replace("-", "_")) for k in privacy.PLAIN])
+
+
+@query()
+def pii_redaction(spark, d):
+    return table(spark, d, "documents").select("doc_id", privacy.redact(F.col("text")).alias("redacted"))
+
+
+@query()
+def pii_counts(spark, d):
+    """Spans by kind, cards by Luhn and IPv6 addresses included."""
+    spans = table(spark, d, "documents").select(F.explode(privacy.spans(F.col("text"))).alias("s"))
+    return spans.groupBy(F.col("s.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""select page_id, length(regexp_replace(html, '(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}):00(\.0+)?(Z?)', '\1\3', 'g')) as n_chars from pages""")
+def ts_normalise(spark, d):
+    return table(spark, d, "pages").select("page_id", F.length(fn.drop_zero_seconds(F.col("html"))).cast("long").alias("n_chars"))
+
+
+@query("""with w as (select doc_id, list_avg(list_transform(string_split(text, ' '), lambda x: length(x))) as m from documents where text is not null)
+select doc_id, case when m <= 1 then 1 when m <= 3 then 3 when m <= 8 then 5 when m <= 20 then 7 else 9 end as tenths from w""")
+def doc_value_length(spark, d):
+    w = F.transform(F.split("text", " "), F.length)
+    mean = F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + x) / F.size(w)
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.round(fn.value_length_score(mean) * 10).cast("int").alias("tenths"))
+
+
+@query("""with l as (select doc_id as id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos from documents),
+b as (select id, pos, pos - row_number() over (partition by id order by pos) as island from l where line = '')
+select id, min(pos) as start, count(*) as n from b group by id, island having count(*) >= 2""")
+def blank_runs(spark, d):
+    return text.blank_runs(table(spark, d, "documents"))
+
+
+@query("""with v as (select distinct reverse(p_name) as v from part where p_name is not null), p as (select v, lag(v) over (partition by v[1:6] order by v) as u from v),
+x as (select distinct v[1:n] as s from (select v, u, (select max(i) from range(0, length(v) + 1) r(i) where v[1:i] = u[1:i] and i <= length(u)) as n from p where u is not null) where n >= 6)
+select reverse(s) as suffix, count(*) as n from x join v on starts_with(v.v, x.s) and v.v <> x.s group by s having count(*) >= 3""")
+def suffix_candidates(spark, d):
+    return text.adjacent_suffixes(table(spark, d, "part"), "p_name")
+
+
+@query("""with v as (select distinct p_name as v from part where p_name is not null), w as (select distinct v, v[i:i + n - 1] as part from v, (values (16), (12), (8)) z(n), range(1, 200) r(i) where i + n - 1 <= length(v)),
+c as (select part, count(*) as n, greatest(1, cast(ceil(length(part) / 4.0) as bigint)) as tokens from w group by part)
+select part, n, tokens from c where n >= 2 and (tokens - 1) * n > tokens + 3""")
+def substring_candidates(spark, d):
+    return text.substring_candidates(table(spark, d, "part"), "p_name", (16, 12, 8))
+
+
+@query("""select doc_id, length(replace(replace(translate(text, chr(8220) || chr(8221) || chr(8216) || chr(8217) || chr(8211) || chr(160), '""' || chr(39) || chr(39) || '- '), chr(8212), '--'), chr(8230), '...')) as n_chars from documents""")
+def plain_characters(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.length(lossy.plain_characters(F.col("text"))).cast("long").alias("n_chars"))
+
+
+@query("select event_id, case when length(props) > 10 then props[1:6] || '...' else props end as short from events")
+def value_truncation(spark, d):
+    return table(spark, d, "events").select("event_id", lossy.truncate_value(F.col("props"), 10, 6).alias("short"))
+
+
+@query("select doc_id, len(string_split(text, chr(10))) as n_lines, array_to_string(string_split(text, chr(10))[-5:], chr(10)) as tail from documents where text is not null")
+def tail_truncation(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), lossy.tail_lines(F.col("text"), 5).alias("tail"))
+
+
+@query("""with r as (select o_orderpriority as profile, o_custkey, max(case when o_orderkey % 2 = 0 then (o_orderkey // 2 % 3 > 0)::int end) as p, max(case when o_orderkey % 2 = 1 then (o_orderkey // 2 % 4 > 0)::int end) as c from orders group by all)
+select profile, count(*) as pairs, count(*) filter (p = 1) as plain_right, count(*) filter (c = 1) as compact_right, count(*) filter (p = 1 and c = 0) as only_plain, count(*) filter (p = 0 and c = 1) as only_compact
+from r where p is not null and c is not null group by profile""")
+def eval_frontier(spark, d):
+    """Orders as answers: even keys plain, odd ones compact, a customer being a task and a priority a profile."""
+    key = F.col("o_orderkey")
+    half = F.floor(key / 2)
+    right = F.when(key % 2 == 0, half % 3 > 0).otherwise(half % 4 > 0)
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("profile"), "o_custkey", F.when(key % 2 == 0, "plain").otherwise("compact").alias("format"), right.alias("correct"))
+    return evaluation.matched(rows, ["o_custkey"], ["profile"]).drop("p_value")
+
+
+@query()
+def pack_balanced(spark, d):
+    """Conversations packed by 0.6 of priority, longer texts first, and 0.4 of recency."""
+    m = table(spark, d, "conversations").withColumn("tokens", fn.estimate_tokens(F.coalesce("text", F.lit(""))))
+    w = Window.partitionBy("conv_id")
+    score = 0.6 * F.col("tokens") / F.max("tokens").over(w) + 0.4 * F.col("turn") / F.greatest(F.max("turn").over(w), F.lit(1))
+    return context.packed(m.withColumn("score", score), "conv_id", [(-F.col("score")).alias("at"), F.col("turn").alias("pos")], "tokens", 300)
