@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack import functions as fn
-from tamarack.functions import lossy, privacy, texts
+from tamarack.functions import codec, lossy, privacy, texts
 from tamarack.operators import context, deltas, evaluation, search, stats, text
 from tamarack.sources import events_as_calls, table
 
@@ -423,3 +423,23 @@ def pack_balanced(spark, d):
     w = Window.partitionBy("conv_id")
     score = 0.6 * F.col("tokens") / F.max("tokens").over(w) + 0.4 * F.col("turn") / F.greatest(F.max("turn").over(w), F.lit(1))
     return context.packed(m.withColumn("score", score), "conv_id", [(-F.col("score")).alias("at"), F.col("turn").alias("pos")], "tokens", 300)
+
+
+@query("select l_orderkey, count(*) as n_items, true as same from lineitem group by l_orderkey")
+def codec_roundtrip(spark, d):
+    """Each order's lines as JSON, compacted and expanded again; an order has few lines, so the groups are small."""
+    item = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", F.col("l_shipdate").cast("string").alias("shipped"))
+    orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    rows = orders.select("l_orderkey", F.struct("l_orderkey", "items").alias("o"))
+    kind = rows.schema["o"].dataType
+    back = F.from_json(codec.expand(codec.compact(F.to_json("o"))), kind)
+    return rows.select("l_orderkey", F.size("o.items").cast("long").alias("n_items"), (F.to_json(back) == F.to_json("o")).alias("same"))
+
+
+@query()
+def codec_savings(spark, d):
+    """Estimated tokens of each order's lines as JSON and as compact text, by how many lines it has."""
+    item = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items")).select(F.size("items").cast("long").alias("n_items"), F.to_json("items").alias("j"))
+    tokens = rows.select("n_items", fn.estimate_tokens(F.col("j")).alias("plain"), fn.estimate_tokens(codec.compact(F.col("j"))).alias("compact"))
+    return tokens.groupBy("n_items").agg(F.sum("plain").alias("plain"), F.sum("compact").alias("compact"))
