@@ -381,11 +381,11 @@ def suffix_candidates(spark, d):
     return text.adjacent_suffixes(table(spark, d, "part"), "p_name")
 
 
-@query("""with v as (select distinct p_name as v from part where p_name is not null), w as (select distinct v, v[i:i + n - 1] as part from v, (values (16), (12), (8)) z(n), range(1, 200) r(i) where i + n - 1 <= length(v)),
+@query("""with v as (select distinct c_name as v from customer where c_name is not null), w as (select distinct v, v[i:i + n - 1] as part from v, (values (16), (12), (8)) z(n), range(1, 200) r(i) where i + n - 1 <= length(v)),
 c as (select part, count(*) as n, greatest(1, cast(ceil(length(part) / 4.0) as bigint)) as tokens from w group by part)
 select part, n, tokens from c where n >= 2 and (tokens - 1) * n > tokens + 3""")
 def substring_candidates(spark, d):
-    return text.substring_candidates(table(spark, d, "part"), "p_name", (16, 12, 8))
+    return text.substring_candidates(table(spark, d, "customer"), "c_name", (16, 12, 8))
 
 
 @query("""select doc_id, length(replace(replace(translate(text, chr(8220) || chr(8221) || chr(8216) || chr(8217) || chr(8211) || chr(160), '""' || chr(39) || chr(39) || '- '), chr(8212), '--'), chr(8230), '...')) as n_chars from documents""")
