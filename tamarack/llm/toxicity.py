@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-from collections import defaultdict
-from collections.abc import Iterator
+import itertools
+from collections import Counter
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import _text
 from ._labelled import fitted, held_out
 
 #: Labelled rows that are learnt from, ordinary and toxic, at most.
 MOST = (4000, 2000)
-#: Words of a window, and parts of a dictionary at most.
-WINDOW, PARTS = 5, 60
+#: Words of a window.
+WINDOW = 5
+#: Bytes of a stem. Words that share more have a stem of the most bytes in common, so none is lost, and a long run without white space costs no more than its length.
+STEM, LONGEST = 6, 64
 #: Begins each window and ends both dictionaries. Its match pays for the first sequence of a frame, so that any further one shows.
 _LEAD = bytes(range(1, 13))
 #: Thresholds of a window's difference, in bytes.
@@ -31,26 +34,50 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def _spread(texts: list[str]) -> dict[bytes, int]:
-    """In how many unlike texts each word occurs: texts are told apart by their least long word's checksum, which copies share."""
-    seen = defaultdict(set)
-    for t in texts:
-        own = set(tokens(t))
-        mark = min((zlib.crc32(x) for x in own if len(x) > 7), default=0)
-        for x in own:
-            seen[x].add(mark)
-    return {x: len(v) for x, v in seen.items()}
+def _spread(texts: list[str], among: Container[bytes] | None = None) -> tuple[Counter[bytes], int]:
+    """In how many texts each word, and each stem of STEM to LONGEST bytes that begins one, occurs in a context that no earlier text has; and the sum over whole words.
+
+    A context is the word with its neighbours, so copies and shared passages
+    count once, while unlike texts count each. ``among`` bounds what is counted.
+    """
+    w = _text.words(pa.array(texts, pa.string()), lower=True)
+    before, after = np.zeros_like(w.hash), np.zeros_like(w.hash)
+    before[1:], after[:-1] = w.hash[:-1], w.hash[1:]
+    edge = w.first[(w.first > 0) & (w.first < len(w.hash))]
+    before[edge], after[edge - 1] = 0, 0
+    new = np.zeros(len(w.hash), bool)
+    new[np.unique(_text.mixed(_text.mixed(_text.mixed(before) + w.hash) + after), return_index=True)[1]] = True
+    seen, total = Counter(), 0
+    for a, b in itertools.pairwise(w.first):
+        own = {w.word(k) for k in a + np.flatnonzero(new[a:b])}
+        parts = own | {x[:k] for x in own for k in range(STEM, min(len(x), LONGEST + 1)) if x[k] & 0xC0 != 0x80}
+        seen.update(parts if among is None else (x for x in parts if x in among))
+        total += len(own)
+    return seen, total
 
 
 def dictionary(own: list[str], other: list[str]) -> bytes:
-    """What sets a class's text apart: words that occur in more unlike texts than the other class lets expect, the most telling last, where offsets are short."""
-    a, b = _spread(own), _spread(other)
-    score = {}
+    """What sets a class's text apart: all words and stems that occur in more texts than the other class lets expect, the most telling last, where offsets are short.
+
+    A word qualifies when its log-likelihood ratio is over twice the logarithm
+    of how many were tried, so that chance hardly lets one in, however many
+    there are. Of words on one qualifying stem the stem alone is written, as
+    long as a longer one doesn't occur nearly as often.
+    """
+    a, n_own = _spread(own)
+    a = {x: n for x, n in a.items() if n >= 4}
+    b, n_other = _spread(other, a)
+    least, score = 2 * np.log(len(a) + 1), {}
     for x, n in a.items():
-        expected = (b.get(x, 0) + 0.5) / max(1, len(other)) * len(own)
-        if n >= max(4, len(own) // 100) and n - 2 * n**0.5 > expected:
-            score[x] = n * np.log(n / expected)
-    best = sorted(score, key=lambda x: (score[x], x))[-PARTS:]
+        expected = (b[x] + 0.5) / max(1, n_other) * n_own
+        if n > expected and (s := n * np.log(n / expected) - (n - expected)) > least:
+            score[x] = s
+    longer = Counter()
+    for x in score:
+        for k in range(STEM, min(len(x), LONGEST + 1)):
+            longer[x[:k]] = max(longer[x[:k]], a[x])
+    whole = {x for x in score if longer[x] < 0.8 * a[x]}
+    best = sorted((x for x in whole if not any(x[:k] in whole for k in range(STEM, min(len(x), LONGEST + 1)))), key=lambda x: (score[x], x))
     return b" " + b" ".join(best) + b" " + _LEAD
 
 
@@ -64,8 +91,9 @@ class Model:
     press: tuple | None = field(default=None, repr=False)
 
     def open(self) -> Model:
+        size = max(len(self.toxic), len(self.ordinary)).bit_length()  # tables and window hold the whole dictionary
         how = zstandard.ZstdCompressionParameters(
-            window_log=14, chain_log=9, hash_log=9, search_log=4, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTOPT,
+            window_log=max(14, size + 1), chain_log=max(12, size), hash_log=max(12, size), search_log=4, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTOPT,
             write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
         )
 
@@ -130,8 +158,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """``docs``, all columns, with ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
     Learns from up to MOST labelled rows of each class of ``labels`` (columns
-    ``<id>, toxic``) that aren't held out: a dictionary of each class's telling
-    words, then a calibration of how much shorter windows of WINDOW words come
+    ``<id>, toxic``) that aren't held out: a dictionary of all of each class's
+    telling words, then a calibration of how much shorter windows of WINDOW words come
     out under the toxic one. Every text is scored whole, from its text alone.
 
     Null and empty texts get the score of a text without telling windows; null

@@ -225,3 +225,20 @@ def test_pipeline(spark):
         assert docs.columns == source.columns, k
     kept = {r.doc_id for r in docs.collect()}
     assert set(out.doc_id) <= kept and out.copies.between(1, 3).all()
+
+
+def test_toxicity_dictionary():
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("klmnop") for _ in range(5)) for _ in range(400)]
+    marks = [f"mark{a}{b}words" for a in "abcdefghij" for b in "qrstuvwxyz"]
+    text = lambda *more: " ".join(rng.sample([*rng.choices(plain, k=40), *more], 40 + len(more)))
+    own = [text(*rng.sample(marks, 25)) for _ in range(200)] + [text("bomente" + rng.choice("abcdef") + rng.choice("ghijkl")) for _ in range(20)]
+    other = [text() for _ in range(600)]
+    found = toxicity.dictionary(own, other).split(b" ")
+    # All 100 words that set the class apart, and the stem of a few texts whose forms are each too rare.
+    assert {m.encode() for m in marks} <= set(found) and sum(x.startswith(b"boment") for x in found) == 1
+    # Words of a passage that texts share count once, of unlike texts that share long words each.
+    shared = toxicity._spread([text() + " worthless passage of copies" for _ in range(9)])[0]
+    assert shared[b"passage"] == 1 and toxicity._spread(own)[0][b"markaqwords"] == sum("markaqwords" in t for t in own)
+    # A run of a million bytes without white space has few stems.
+    assert len(toxicity._spread(["x" * 10**6])[0]) <= toxicity.LONGEST
