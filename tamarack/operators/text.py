@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +37,13 @@ def shared_lines(rows: DataFrame, text_col: str = "text", least_tokens: int = 4,
     return count.where(F.col("tokens") >= least_tokens).withColumn("net", net).where("net > 0").orderBy(F.desc("net"), F.desc("n"), "line").limit(most)
 
 
-def phrase_candidates(docs: DataFrame, size: int, text_col: str = "text", least: int = 2) -> DataFrame:
-    """Runs of ``size`` words that pay for a dictionary entry, counted over all texts with a combined aggregate."""
+def phrase_candidates(docs: DataFrame, sizes: int | Sequence[int], text_col: str = "text", least: int = 2) -> DataFrame:
+    """Runs of each of ``sizes`` words that pay for a dictionary entry, counted over all texts with a combined aggregate."""
     words = F.filter(F.split(F.coalesce(text_col, F.lit("")), r"[ \t\n\r]+"), lambda x: x != "")
-    at = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - (size - 1))).otherwise(F.array().cast("array<int>"))
-    grams = docs.select(words.alias("w")).select(F.explode(F.transform(at, lambda i: F.array_join(F.slice("w", i, size), " "))).alias("phrase"))
+    at = lambda k: F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
+    runs = lambda k: F.transform(at(k), lambda i: F.array_join(F.slice("w", i, k), " "))
+    every = F.flatten(F.array(*map(runs, [sizes] if isinstance(sizes, int) else sizes)))
+    grams = docs.select(words.alias("w")).select(F.explode(every).alias("phrase"))
     count = grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).withColumn("tokens", estimate_tokens(F.col("phrase")))
     return count.withColumn("net", (F.col("tokens") - 1) * F.col("n") - (F.col("tokens") + 3)).where("net > 0")
 

@@ -166,6 +166,15 @@ def ngram_candidates(spark, d):
     return text.phrase_candidates(table(spark, d, "conversations"), 4)
 
 
+@query(r"""with w as (select list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '') as w from documents),
+g as (select unnest(list_transform(range(1, greatest(len(w) - k + 1, 0) + 1), lambda i: array_to_string(w[i:i+k-1], ' '))) as phrase from w, range(2, 9) z(k)),
+c as (select phrase, count(*) as n, greatest(1, cast(ceil(length(phrase) / 4.0) as bigint)) as tokens from g group by phrase)
+select phrase, n, tokens, (tokens - 1) * n - (tokens + 3) as net from c where n >= 2 and (tokens - 1) * n - (tokens + 3) > 0""")
+def ngram_candidates_documents(spark, d):
+    """All sizes of the reference over documents; ngram_candidates is the part of four words over conversations."""
+    return text.phrase_candidates(table(spark, d, "documents").select("text"), range(2, 9))
+
+
 @query("""with c as (select p_type as value, count(*) as n, greatest(1, cast(ceil(length(p_type) / 4.0) as bigint)) as tokens from part group by 1) select value, n, tokens, (tokens - 1) * n - (tokens + 3) as net from c where n >= 3 and (tokens - 1) * n - (tokens + 3) > 0""")
 def exact_alias_candidates(spark, d):
     return text.alias_candidates(table(spark, d, "part"), "p_type")

@@ -47,3 +47,16 @@ def test_running_stats(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("running").collect()] == [("json", 3, 18)]
+
+
+def test_phrases_of_all_sizes(spark):
+    texts = ["one two three four five six seven eight nine", "zero one two three four five six seven eight", "nine  one\ntwo", "one", None]
+    count = {}
+    for t in texts:
+        w = (t or "").split()
+        for k in range(2, 9):
+            for i in range(len(w) - k + 1):
+                count[" ".join(w[i : i + k])] = count.get(" ".join(w[i : i + k]), 0) + 1
+    want = {p: n for p, n in count.items() if n >= 2 and (-(-len(p) // 4) - 1) * n > -(-len(p) // 4) + 3}
+    got = text.phrase_candidates(spark.createDataFrame([(t,) for t in texts], "text string"), range(2, 9))
+    assert {r.phrase: r.n for r in got.collect()} == want and {len(p.split()) for p in want} >= {5, 8}
