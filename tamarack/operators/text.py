@@ -96,11 +96,19 @@ def substring_candidates(values: DataFrame, value: str, widths: tuple[int, ...])
     """``part, n, tokens``: windows of each width that occur in so many distinct values that an alias pays: (tokens - 1) n > tokens + 3, n at least 2."""
     v = values.select(F.col(value).alias("v")).where(F.col(value).isNotNull()).distinct()
     windows = lambda w: F.when(F.length("v") >= w, F.transform(F.sequence(F.lit(1), F.length("v") - w + 1), lambda i: F.substring("v", i, F.lit(w)))).otherwise(F.array().cast("array<string>"))
-    every = v.select(F.explode(F.array_distinct(F.flatten(F.array(*map(windows, widths))))).alias("part"))
+    every = v.select(F.explode(F.array_distinct(F.flatten(F.array(F.array().cast("array<string>"), *map(windows, widths))))).alias("part"))
     count = every.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").withColumn("tokens", estimate_tokens(F.col("part")))
     return count.where((F.col("tokens") - 1) * F.col("n") > F.col("tokens") + 3)
 
 
+def window_widths(values: DataFrame, value: str) -> tuple[int, ...]:
+    """The reference's ladder of widths, widest first, from one aggregate over the distinct values: up to the longest, and 5 where over half are shorter than 12; none if all are shorter than 6."""
+    size = F.length(F.col(value))
+    most, n, short = values.select(size.alias("n"), F.col(value)).where(F.col(value).isNotNull()).distinct().agg(F.max("n"), F.count("n"), F.count_if(F.col("n") < 12)).first()
+    ladder = (64, 48, 40, 32, 24, 20, 16, 12, 10, 8, 6, *((5,) if n and 2 * short > n else ()))
+    return tuple(w for w in ladder if w <= most) if (most or 0) >= 6 else ()
+
+
 def blank_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs of two empty lines or more: ``id, start, n``, start counted from 0. Each text's runs are found in its own row, without a shuffle."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")

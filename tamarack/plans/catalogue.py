@@ -397,6 +397,19 @@ def substring_candidates(spark, d):
     return text.substring_candidates(table(spark, d, "customer"), "c_name", (16, 12, 8))
 
 
+@query("""with v as (select distinct 'c_name' as col, c_name as v from customer where c_name is not null union all select distinct 'p_name', p_name from part where p_name is not null),
+s as (select col, max(length(v)) as most, 2 * count(*) filter (length(v) < 12) > count(*) as dense from v group by col),
+z as (select col, n from s, (values (64), (48), (40), (32), (24), (20), (16), (12), (10), (8), (6), (5)) z(n) where n <= most and most >= 6 and (n > 5 or dense)),
+w as (select distinct col, v, v[i:i + n - 1] as part from v join z using (col), range(1, 1000) r(i) where i + n - 1 <= length(v)),
+c as (select col, part, count(*) as n, greatest(1, cast(ceil(length(part) / 4.0) as bigint)) as tokens from w group by col, part)
+select col, part, n, tokens from c where n >= 2 and (tokens - 1) * n > tokens + 3""")
+def substring_candidates_adaptive(spark, d):
+    """Widths from each column's lengths, over customers' and parts' names; substring_candidates is the part of three widths over customers."""
+    columns = [(table(spark, d, t).select(c), c) for t, c in (("customer", "c_name"), ("part", "p_name"))]
+    found = [text.substring_candidates(v, c, text.window_widths(v, c)).select(F.lit(c).alias("col"), "part", "n", "tokens") for v, c in columns]
+    return found[0].unionAll(found[1])
+
+
 @query("""select doc_id, length(replace(replace(translate(text, chr(8220) || chr(8221) || chr(8216) || chr(8217) || chr(8211) || chr(160), '""' || chr(39) || chr(39) || '- '), chr(8212), '--'), chr(8230), '...')) as n_chars from documents""")
 def plain_characters(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(lossy.plain_characters(F.col("text"))).cast("long").alias("n_chars"))

@@ -60,3 +60,15 @@ def test_phrases_of_all_sizes(spark):
     want = {p: n for p, n in count.items() if n >= 2 and (-(-len(p) // 4) - 1) * n > -(-len(p) // 4) + 3}
     got = text.phrase_candidates(spark.createDataFrame([(t,) for t in texts], "text string"), range(2, 9))
     assert {r.phrase: r.n for r in got.collect()} == want and {len(p.split()) for p in want} >= {5, 8}
+
+
+def test_substring_widths(spark):
+    widths = lambda *values: text.window_widths(spark.createDataFrame([(v,) for v in values], "v string"), "v")
+    assert widths("x" * 70, "y" * 50) == (64, 48, 40, 32, 24, 20, 16, 12, 10, 8, 6)
+    assert widths("x" * 21, "y" * 20, None) == (20, 16, 12, 10, 8, 6)
+    assert widths("abcdefg", "a", "b" * 12) == (12, 10, 8, 6, 5) and widths("abcdefg", "abcdefg", "b" * 12, None) == (12, 10, 8, 6)
+    assert widths("abcde") == widths(None) == ()
+    v = spark.createDataFrame([("p" * 24 + "one",), ("p" * 24 + "two",), ("ab",)], "v string")
+    parts = {r.part for r in text.substring_candidates(v, "v", text.window_widths(v, "v")).collect()}
+    assert {len(p) for p in parts} == {24}
+    assert text.substring_candidates(v, "v", ()).count() == 0
