@@ -50,3 +50,66 @@ def savings(df: DataFrame, c: str, keys: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
     out = df.select(*keys, F.length(F.col(c).cast("string")).alias("plain"), F.length(numeric(F.col(c), w)).alias("coded"))
     return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("plain").cast("long").alias("plain"), F.sum("coded").cast("long").alias("coded"))
+
+
+#: ISO times in whole seconds: without a zone, in UTC or at a fixed offset.
+_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})?$"
+_STEP = r"^T[+-](0|[1-9]\d*)$"
+
+
+def _zone(c: Column) -> Column:
+    return F.regexp_extract(c, _ISO, 1)
+
+
+def _epoch(c: Column) -> Column:
+    """Seconds of an ISO time, a missing zone being UTC; null for any other text."""
+    zone = F.when(_zone(c) == "", "Z").otherwise(_zone(c))
+    return F.when(c.rlike(_ISO), F.unix_seconds(F.concat(F.substring(c, 1, 19), zone).try_cast("timestamp")))
+
+
+def _temporal(df: DataFrame, c: str, keys: list[str], order: str) -> DataFrame:
+    """``df`` with ``__step`` from the cell above, the group's ``__n``, ``__plain`` and ``__coded`` characters, and whether coding it ``__pays``: three rows, all ISO times of one zone, not all equal, and a fifth saved."""
+    w, all_ = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
+    df = df.withColumn("__at", _epoch(F.col(c))).withColumn("__step", F.col("__at") - F.lag("__at").over(w))
+    size = F.when(F.row_number().over(w) == 1, F.length(c)).when(F.col("__step") == 0, 1).otherwise(2 + F.length(F.abs("__step").cast("string")))
+    df = df.withColumn("__size", size)
+    same = (F.count("__at").over(all_) == F.count(F.lit(1)).over(all_)) & (F.min(_zone(F.col(c))).over(all_) == F.max(_zone(F.col(c))).over(all_))
+    df = df.withColumn("__n", F.count(F.lit(1)).over(all_)).withColumn("__plain", F.sum(F.length(c)).over(all_)).withColumn("__same", same)
+    df = df.withColumn("__coded", F.when(F.col("__same"), F.sum("__size").over(all_)).otherwise(F.col("__plain")))
+    moves = F.coalesce(F.max(F.abs("__step")).over(all_) > 0, F.lit(False))
+    return df.withColumn("__pays", F.col("__same") & moves & (F.col("__n") >= 3) & (5 * (F.col("__plain") - F.col("__coded")) >= F.col("__plain")))
+
+
+def temporal(df: DataFrame, c: str, keys: list[str], order: str, out: str) -> DataFrame:
+    """``T+n`` or ``T-n``, in seconds, from the ISO time above, in groups where that pays; first and equal cells stay whole.
+
+    A cell that itself reads as a step gets a quotation mark in front, one more if it has any.
+    """
+    step = F.col("__step")
+    coded = F.concat(F.when(step > 0, "T+").otherwise("T-"), F.abs(step).cast("string"))
+    plain = F.when(F.col(c).rlike(r'^"*T[+-](0|[1-9]\d*)$'), F.concat(F.lit('"'), c)).otherwise(F.col(c))
+    return _temporal(df, c, keys, order).withColumn(out, F.when(F.col("__pays") & (step != 0), coded).otherwise(plain)).select(*df.columns, out)
+
+
+def temporal_back(df: DataFrame, cell: str, keys: list[str], order: str, out: str) -> DataFrame:
+    """Running sums that begin anew at every whole time, written in that time's zone. Steps without a time above stay as they are."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    at, c = _epoch(F.col(cell)), F.col(cell)
+    step = F.when(c.rlike(_STEP), F.substring(c, F.lit(2), F.length(c)).cast("long"))
+    coded = df.withColumn("__at", at).withColumn("__step", step).withColumn("__run", F.count("__at").over(w))
+    coded = coded.withColumn("__zone", F.last(F.when(F.col("__at").isNotNull(), _zone(c)), ignorenulls=True).over(w))
+    run = Window.partitionBy(*keys, "__run").orderBy(order)
+    now = F.sum(F.coalesce("__at", "__step")).over(run)
+    part = lambda first: F.substring("__zone", first, 2).cast("long")
+    offset = F.when(F.length("__zone") == 6, F.when(F.col("__zone").startswith("-"), -1).otherwise(1) * (part(2) * 3600 + part(5) * 60)).otherwise(0)
+    local = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(now + offset).cast("decimal(18,6)"))
+    text = F.concat(F.replace(local.cast("string"), F.lit(" "), F.lit("T")), "__zone")
+    quoted = c.rlike(r'^"+T[+-](0|[1-9]\d*)$')
+    again = F.when(F.col("__step").isNotNull() & (F.col("__run") > 0), text).when(quoted, F.substring(c, F.lit(2), F.length(c))).otherwise(c)
+    return coded.withColumn(out, again).select(*df.columns, out)
+
+
+def temporal_savings(df: DataFrame, c: str, keys: list[str], order: str) -> DataFrame:
+    """By group: characters of the ISO texts and of the temporal codec's cells, a repeat as one, and whether the codec pays."""
+    per = _temporal(df, c, keys, order).groupBy(*keys)
+    return per.agg(F.first("__n").alias("n_rows"), F.first("__plain").alias("plain"), F.first("__coded").cast("long").alias("coded"), F.first("__pays").alias("pays"))

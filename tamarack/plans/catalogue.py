@@ -225,10 +225,32 @@ def delta_repeat_ratio(spark, d):
 @query("""with x as (select user_id, epoch(date_trunc('second', ts))::bigint as v, event_id from events), y as (select user_id, v, v - lag(v) over (partition by user_id order by event_id) as dv from x)
 select user_id, count(*) as n_rows, cast(sum(length(cast(v as varchar))) as bigint) as plain, cast(sum(length(case when dv is null or dv = 0 then cast(v as varchar) when dv > 0 then '+' || dv else cast(dv as varchar) end)) as bigint) as coded from y group by 1""")
 def delta_temporal_savings(spark, d):
+    """The numeric codec on unix seconds; delta_temporal_iso_savings is the temporal codec on ISO text."""
     rows = table(spark, d, "events").select("user_id", "event_id", F.unix_timestamp("ts").alias("v"))
     return deltas.savings(rows, "v", ["user_id"], "event_id")
 
 
+_ISO_GROUPS = """with x as (select user_id, event_id, epoch(date_trunc('second', ts))::bigint as v, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as iso from events),
+y as (select *, v - lag(v) over (partition by user_id order by event_id) as dv from x),
+g as (select user_id, count(*) as n_rows, cast(sum(length(iso)) as bigint) as plain, cast(sum(case when dv is null then length(iso) when dv = 0 then 1 else 2 + length(cast(abs(dv) as varchar)) end) as bigint) as coded, coalesce(max(abs(dv)) > 0, false) as moves from y group by 1),
+p as (select user_id, n_rows, plain, coded, moves and n_rows >= 3 and 5 * (plain - coded) >= plain as pays from g) """
+
+
+def _iso_events(spark, d):
+    return table(spark, d, "events").select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
+
+
+@query(_ISO_GROUPS + "select * from p")
+def delta_temporal_iso_savings(spark, d):
+    return deltas.temporal_savings(_iso_events(spark, d), "iso", ["user_id"], "event_id")
+
+
+@query(_ISO_GROUPS + "select event_id, case when pays and dv > 0 then 'T+' || dv when pays and dv < 0 then 'T' || dv else iso end as cell, iso as again from y join p on y.user_id is not distinct from p.user_id")
+def delta_temporal_iso(spark, d):
+    coded = deltas.temporal(_iso_events(spark, d), "iso", ["user_id"], "event_id", "cell").select("user_id", "event_id", "cell")
+    return deltas.temporal_back(coded, "cell", ["user_id"], "event_id", "again").select("event_id", "cell", "again")
+
+
 @query("select conv_id, turn, cast(sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as bigint) as user_turn from conversations")
 def turn_numbering(spark, d):
     return context.numbered(table(spark, d, "conversations")).select("conv_id", "turn", "user_turn")

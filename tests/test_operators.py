@@ -72,3 +72,24 @@ def test_substring_widths(spark):
     parts = {r.part for r in text.substring_candidates(v, "v", text.window_widths(v, "v")).collect()}
     assert {len(p) for p in parts} == {24}
     assert text.substring_candidates(v, "v", ()).count() == 0
+
+
+def test_temporal_delta_round_trip(spark):
+    iso = lambda zone, *times: [f"2026-03-29T{t}{zone}" for t in times]
+    times = ("01:59:59", "02:00:00", "02:00:00", "23:59:59", "00:00:00")
+    groups = {1: iso("Z", *times), 2: iso("-05:30", *times), 3: iso("", *times), 4: iso("Z", *times)[:3] + iso("+01:00", *times)[:2], 5: ["T+60", '"T-1', "T+x", None, "2026-03-29T01:00:00Z"]}
+    groups |= {6: iso("Z", "01:00:00", "01:00:01"), 7: iso("Z", *["01:00:00"] * 4), 8: iso(".5Z", *times), 9: ["2026-02-30T00:00:00Z", *iso("Z", *times)]}
+    df = spark.createDataFrame([(g, i, v) for g, vs in groups.items() for i, v in enumerate(vs)], "g int, i int, v string")
+    coded = deltas.temporal(df, "v", ["g"], "i", "cell")
+    back = deltas.temporal_back(coded.drop("v"), "cell", ["g"], "i", "again").join(df, ["g", "i"]).orderBy("g", "i").collect()
+    assert [r.again for r in back] == [r.v for r in back]
+    cells = {g: [r.cell for r in back if r.g == g] for g in groups}
+    for g, zone in ((1, "Z"), (2, "-05:30"), (3, "")):
+        assert cells[g] == [f"2026-03-29T01:59:59{zone}", "T+1", f"2026-03-29T02:00:00{zone}", "T+79199", "T-86399"]
+    assert all(cells[g] == groups[g] for g in (4, 6, 7, 8, 9)) and cells[5][:2] == ['"T+60', '""T-1']
+    save = {r.g: (r.n_rows, r.plain, r.coded, r.pays) for r in deltas.temporal_savings(df, "v", ["g"], "i").collect()}
+    assert save[1] == (5, 100, 20 + 3 + 1 + 7 + 7, True) and save[4] == (5, 115 - 5, 110, False) and not save[7][3]
+    # A whole time begins anew, in its own zone; a step above all times stays.
+    rows = [(1, k, v) for k, v in enumerate(["T+1", "2026-01-01T00:00:00Z", "T+1", "2026-01-01T00:00:00+02:00", "T-1"])]
+    again = deltas.temporal_back(spark.createDataFrame(rows, "g int, i int, c string"), "c", ["g"], "i", "v").orderBy("i").collect()
+    assert [r.v for r in again] == ["T+1", "2026-01-01T00:00:00Z", "2026-01-01T00:00:01Z", "2026-01-01T00:00:00+02:00", "2025-12-31T23:59:59+02:00"]
