@@ -59,7 +59,7 @@ def detect_format(text: Column) -> Column:
     """A format's name by cues that need no parser: JSON by its brackets, CSV by even commas, Markdown by its marks, YAML by its keys; else text."""
     t = F.trim(F.coalesce(text, F.lit("")))
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
-    commas = F.transform(F.slice(lines, 1, 50), lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))))
+    commas = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))))
     even = F.size(F.filter(commas, lambda c: F.abs(c - commas[0]) <= 1)) / F.greatest(F.size(commas), F.lit(1))
     keys = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*(- )?[A-Za-z_][A-Za-z0-9_-]*:( |$)"))) / F.greatest(F.size(lines), F.lit(1))
     marks = F.size(F.filter(lines, lambda x: x.rlike(r"^(#{1,6} |[-*] |\d+\. |```|> |\|.*\|)")))

@@ -93,3 +93,8 @@ def test_temporal_delta_round_trip(spark):
     rows = [(1, k, v) for k, v in enumerate(["T+1", "2026-01-01T00:00:00Z", "T+1", "2026-01-01T00:00:00+02:00", "T-1"])]
     again = deltas.temporal_back(spark.createDataFrame(rows, "g int, i int, c string"), "c", ["g"], "i", "v").orderBy("i").collect()
     assert [r.v for r in again] == ["T+1", "2026-01-01T00:00:00Z", "2026-01-01T00:00:01Z", "2026-01-01T00:00:00+02:00", "2025-12-31T23:59:59+02:00"]
+
+
+@pytest.mark.parametrize(("lines", "want"), [(["a,b"] * 50 + ["Then prose, with one, two and three, commas and so on."] * 20, "text"), (["a,b,c"] + ["x"] * 12 + ["1,2,3"] * 60, "csv")])
+def test_detect_counts_all_lines(spark, lines, want):
+    assert spark.createDataFrame([("\n\n".join(lines),)], "t string").select(fn.detect_format(F.col("t"))).first()[0] == want
