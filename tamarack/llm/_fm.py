@@ -109,23 +109,35 @@ class FMIndex:
             left, steps = left + self.shift[symbol], steps + 1
         return out
 
-    def repeats(self, starts: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
-        """For windows of ``length`` symbols of the text: the earliest place where each one's sequence begins.
+    def matching(self, ends: np.ndarray, text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of places of a text that is streamed against the index: how many symbols up to and with each, ``most`` of them at most, also occur elsewhere; and the interval of those that reach ``most``.
 
-        Backward search from a window's last symbol to its first; a window's
-        interval that shrinks to one row is the window itself and is left.
+        Backward search; a place whose interval shrinks to one row, its own, or whose sequence begins, goes no further.
         """
-        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
-        live = np.arange(len(starts))
-        for k in range(length - 1, -1, -1):
-            lo, hi = self.extend(text[starts[live] + k], lo, hi)
+        length = np.zeros(len(ends), np.int64)
+        left, right = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        live = np.arange(len(ends))
+        for k in range(most):
+            inside = ends[live] >= k
+            inside[inside] = text[ends[live[inside]] - k] > 0
+            live, lo, hi = live[inside], lo[inside], hi[inside]
+            lo, hi = self.extend(text[ends[live] - k], lo, hi)
             more = hi - lo > 1
             live, lo, hi = live[more], lo[more], hi[more]
+            length[live] = k + 1
+        left[live], right[live] = lo, hi
+        return length, left, right
+
+    def repeats(self, starts: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
+        """For windows of ``length`` symbols of the text: the earliest place where each one's sequence begins, from those whose statistic reaches ``length``."""
+        reach, lo, hi = self.matching(starts + length - 1, text, length)
+        live = np.flatnonzero(reach == length)
         first = starts.copy()
         if len(live):
-            at, back = np.unique(lo, return_inverse=True)
+            at, back = np.unique(lo[live], return_inverse=True)
             size = np.zeros(len(at), np.int64)
-            size[back] = hi - lo
+            size[back] = (hi - lo)[live]
             begin = np.concatenate([[0], np.cumsum(size)[:-1]])
             rows = np.repeat(at - begin, size) + np.arange(size.sum())
             first[live] = np.minimum.reduceat(self.locate(rows), begin)[back]

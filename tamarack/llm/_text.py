@@ -7,24 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
 #: Bytes of text worked on at once, which bounds the memory of the arrays over bytes.
 PIECE = 1 << 21
-
-
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers[base]) < n:
-        table = np.full(max(n, PIECE), base)
-        table[0] = 1
-        _powers[base] = np.cumprod(table, dtype=np.uint64)
-    return _powers[base][:n]
+#: Bytes up to which words are hashed in arrays, eight bytes a step.
+_SHORT = 64
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,6 +40,36 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
+    def other(self) -> Words:
+        """The same words under hashes that are independent of ``hash``."""
+        return Words(_hashes(self.data, self.start, self.end, 1), self.start, self.end, self.first, self.data)
+
+    def spaced(self) -> tuple[bytes, np.ndarray]:
+        """All words, each with a space behind it, and where in that each begins (and the end of the last)."""
+        begin = np.concatenate([[0], np.cumsum(self.end - self.start + 1)])
+        out = np.full(begin[-1], 0x20, np.uint8)
+        size = self.end - self.start
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(begin[:-1], size) + at] = self.data[np.repeat(self.start, size) + at]
+        return out.tobytes(), begin
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of words: eight bytes at a time, mixed after each step; of words beyond _SHORT bytes XXH3."""
+    size, seed = end - start, _SEEDS[which]
+    out = mixed(size.astype(np.uint64) * np.uint64(seed))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    for at in range(0, _SHORT, 8):
+        own = np.flatnonzero((size > at) & (size <= _SHORT))
+        if not len(own):
+            break
+        left = np.minimum(size[own] - at, 8).astype(np.uint64)
+        out[own] = mixed((out[own] ^ (eight[start[own] + at] & (~np.uint64(0) >> (np.uint64(64) - left * np.uint64(8))))) + np.uint64(seed))
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    return out
+
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes; a null is an empty text."""
@@ -76,7 +99,7 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     if lower:
         data = _LOWER[data]
     n = len(data)
-    hashes, starts, ends = [], [], []
+    starts, ends = [], []
     at = 0
     while at < n:
         to = min(n, at + PIECE)
@@ -101,16 +124,12 @@ def words(column: pa.Array, lower: bool = False) -> Words:
         after[-1] = False
         after[:-1] = w[1:]
         e = np.flatnonzero(w & (~after | cut[1:])) + 1
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(b)), out=sums[1:])
-        h = (sums[e] - sums[s]) * _power(_INVERSE, len(b))[s]
-        hashes.append(mixed(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         starts.append(s + at)
         ends.append(e + at)
         at = to
     cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    start = cat(starts, np.int64)
-    return Words(cat(hashes, np.uint64), start, cat(ends, np.int64), np.searchsorted(start, offsets), data)
+    start, end = cat(starts, np.int64), cat(ends, np.int64)
+    return Words(_hashes(data, start, end), start, end, np.searchsorted(start, offsets), data)
 
 
 def grams(w: Words, n: int = 5, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +141,8 @@ def grams(w: Words, n: int = 5, short: bool = True) -> tuple[np.ndarray, np.ndar
     m = len(w.hash)
     k = np.maximum(count - n + 1, 0)
     full = np.zeros(max(m - n + 1, 0), np.uint64)
-    scale = _power(_BASE, n + 1)
     for j in range(n if m >= n else 0):
-        full += w.hash[j : m - n + 1 + j] * scale[j + 1]
-    full = mixed(full)
+        full = mixed(full + w.hash[j : m - n + 1 + j])  # mixed between steps, so that no two sequences agree by their form
     few = (count > 0) & (count < n) if short else np.zeros(len(count), bool)
     out_count = np.where(few, 1, k)
     first = np.concatenate([[0], np.cumsum(out_count)])
@@ -137,12 +154,10 @@ def grams(w: Words, n: int = 5, short: bool = True) -> tuple[np.ndarray, np.ndar
         out[whole] = full[place[whole]]
         for i in np.flatnonzero(few):
             h = w.hash[w.first[i] : w.first[i + 1]]
-            total = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for j, x in enumerate(h):
-                    total += x * scale[j + 1]
-                total += np.uint64(len(h)) * np.uint64(0xA24BAED4963EE407)
-            out[first[i]] = mixed(np.array([total]))[0]
+            total = np.full(1, len(h), np.uint64)
+            for x in h:
+                total = mixed(total + x)
+            out[first[i]] = total[0]
     return out, first
 
 

@@ -12,9 +12,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one of this machine only where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir; a temporary one of this machine only where that is unset and the master is local (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
         top = "file://" + tempfile.mkdtemp(prefix="tamarack-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/tamarack-{uuid.uuid4().hex}"

@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._fm import FMIndex
-from ._text import _BASE, _INVERSE, PIECE, Words, _power, grams, mixed, slices, words
+from ._skew import join_groups
+from ._text import PIECE, Words, grams, words
 from ._work import shared_dir, stash
 
 #: Words of an anchor run; with windows of 20 words, 16 runs compete.
@@ -21,8 +23,8 @@ _ANCHOR = 5
 _SHARD, _CROWD = 1 << 20, 1 << 14
 
 
-def pieces(w: Words, window: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share their anchor: text, first window, number of windows, anchor hash and content hash.
+def pieces(w: Words, window: int, digests: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Runs of windows that share their anchor: text, first window, number of windows, anchor hash and 128-bit digest of the words.
 
     A window's anchor is the leftmost smallest hash of its runs of _ANCHOR
     words, so that equal windows have equal anchors at the same distance. A
@@ -45,20 +47,24 @@ def pieces(w: Words, window: int) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
     n = np.diff(np.concatenate([new, [len(doc)]]))
     doc, at, anchor = doc[new], at[new], h[place[new]]
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(w.hash * _power(_BASE, len(w.hash)), dtype=np.uint64)])
+    if not digests:
+        return doc, at, n, anchor.view(np.int64), []
     s = w.first[:-1][doc] + at
-    e = s + n + window - 1
-    content = mixed((sums[e] - sums[s]) * _power(_INVERSE, len(w.hash) + 1)[s] + n.astype(np.uint64))
-    return doc, at, n, anchor.view(np.int64), content.view(np.int64)
+    text, begin = w.spaced()
+    view = memoryview(text)
+    content = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(begin[s].tolist(), begin[s + n + window - 1].tolist(), strict=True)]
+    return doc, at, n, anchor.view(np.int64), content
 
 
 def _emit(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                doc, at, n, anchor, content = pieces(words(batch.column(1).slice(lo, hi - lo)), window)
+            for lo, _, texts in _unpacked(batch.column(2)):
+                doc, at, n, anchor, content = pieces(words(texts), window)
+                take = pa.array(doc + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc + lo)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(content)], ["id", "at", "n", "anchor", "content"]
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(content, pa.binary())],
+                    ["id", "rid", "at", "n", "anchor", "content"],
                 )
 
     return run
@@ -90,30 +96,28 @@ def _fetch(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in _unpacked(batch.column(1)):
+            for lo, hi, texts in _unpacked(batch.column(2)):
                 w = words(texts)
-                doc, at, n, anchor, content = pieces(w, window)
-                ask = batch.column(2).slice(lo, hi - lo)
+                doc, at, n, anchor, _ = pieces(w, window, digests=False)
+                ask = batch.column(3).slice(lo, hi - lo)
                 flat, owner = ask.flatten(), np.repeat(np.arange(hi - lo), np.diff(ask.offsets.to_numpy()))
                 where = {(d, a): i for i, (d, a) in enumerate(zip(doc.tolist(), at.tolist(), strict=True))}
                 rows: list[tuple] = []
-                cols = [flat.field(k).to_numpy(zero_copy_only=False).tolist() for k in range(4)]
-                for d, a, anch, cont, split in zip(owner.tolist(), *cols, strict=True):
-                    i = where.get((d, a))
-                    if i is None or anchor[i] != anch or content[i] != cont:
-                        continue  # a row of the same id with another text
+                for d, a, split in zip(owner.tolist(), flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True):
+                    i = where[d, a]
                     s, m = int(w.first[d]) + a, int(n[i])
                     one = [w.word(k) for k in range(s, s + m + window - 1)]
                     if split <= 1:
-                        rows.append((anch, 0, d + lo, a, cont, 0, b" ".join(one)))
+                        rows.append((int(anchor[i]), 0, d + lo, a, 0, b" ".join(one)))
                     else:
                         for j in range(m):
                             part = b" ".join(one[j : j + window])
-                            rows.append((anch, int.from_bytes(hashlib.blake2b(part, digest_size=7).digest()) % split, d + lo, a, cont, j, part))
-                c = list(zip(*rows, strict=True)) if rows else [()] * 7
+                            rows.append((int(anchor[i]), int.from_bytes(hashlib.blake2b(part, digest_size=7).digest()) % split, d + lo, a, j, part))
+                c = list(zip(*rows, strict=True)) if rows else [()] * 6
+                take = pa.array(c[2], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), batch.column(3).take(pa.array(c[2], pa.int64())), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.int32()), pa.array(c[6], pa.binary())],
-                    ["anchor", "sub", "id", "at", "content", "skip", "words"],
+                    [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.binary())],
+                    ["anchor", "sub", "id", "rid", "at", "skip", "words"],
                 )
 
     return run
@@ -123,7 +127,7 @@ def _search(window: int):
     """Shards of whole (anchor, sub) groups: index them, search all their windows, report those that begin earlier too."""
 
     def shard(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] + r[3]))  # by first place
+        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] + r[3]))  # by first place
         ids: dict[bytes, int] = {}
         text: list[int] = []
         begin, count = [], []
@@ -140,16 +144,13 @@ def _search(window: int):
         hit = np.flatnonzero(first != starts)
         mask = np.zeros(len(rows), np.int64)
         np.bitwise_or.at(mask, owner[hit], np.int64(1) << (inner[hit] + np.array([r[3] for r in rows])[owner[hit]]))
-        out = [(*rows[i][:3], int(mask[i])) for i in np.flatnonzero(mask)]
-        c = list(zip(*out, strict=True)) if out else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c[0], kinds[0]), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64())], ["id", "at", "content", "mask"])
-
-    kinds: list[pa.DataType] = [pa.int64()]
+        out = [(*rows[i][1:3], int(mask[i])) for i in np.flatnonzero(mask)]
+        c = list(zip(*out, strict=True)) if out else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64())], ["rid", "at", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, group = [], 0, None
         for batch in batches:
-            kinds[0] = batch.column(2).type
             for anchor, sub, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= _SHARD and group != (anchor, sub):
                     yield shard(rows)
@@ -169,24 +170,22 @@ def _remove(window: int):
             for lo, hi, texts in _unpacked(batch.column(1)):
                 total, gone, kept = [], [], []
                 w = words(texts)
-                doc, at, n, anchor, content = pieces(w, window)
-                known = {(d, a, x): i for i, (d, a, x) in enumerate(zip(doc.tolist(), at.tolist(), content.tolist(), strict=True))}
+                doc, at, n, _, _ = pieces(w, window, digests=False)
+                known = {(d, a): i for i, (d, a) in enumerate(zip(doc.tolist(), at.tolist(), strict=True))}
                 for d in range(hi - lo):
                     marks, m = batch.column(2)[lo + d], int(w.first[d + 1] - w.first[d])
                     own = texts[d].as_py().split()
                     total.append(m)
                     cover = np.zeros(m + 1, np.int64)
                     for x in marks.as_py() or ():
-                        i = known.get((d, x["at"], x["content"]))
-                        if i is not None:
-                            for j in range(int(n[i])):
-                                if x["mask"] >> j & 1:
-                                    cover[x["at"] + j] += 1
-                                    cover[min(m, x["at"] + j + window)] -= 1
+                        for j in range(int(n[known[d, x["at"]]])):
+                            if x["mask"] >> j & 1:
+                                cover[x["at"] + j] += 1
+                                cover[min(m, x["at"] + j + window)] -= 1
                     out = np.cumsum(cover[:m]) > 0
                     gone.append(int(out.sum()))
                     kept.append(b" ".join([x for x, o in zip(own, out.tolist(), strict=True) if not o] if gone[-1] else own))
-                yield pa.RecordBatch.from_arrays([batch.column(3).slice(lo, hi - lo), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode() for x in kept], pa.string())], ["id", "n_words", "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode() for x in kept], pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
     return run
 
@@ -201,43 +200,51 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Windows are cut into pieces by a minimising anchor, so that equal
        windows lie in pieces of one anchor. Anchors seen once can't hold a
        repeat and drop out after a combined count.
-    2. Equal pieces are pre-aggregated to their first occurrence; all windows
-       of the others repeat. A hot passage so becomes one row a task.
+    2. Pieces of equal words (anchor, length and a 128-bit digest of the bytes)
+       are pre-aggregated to their first occurrence; all windows of the others
+       repeat. A hot passage so becomes one row a task, and the way back to
+       its pieces is a broadcast of the hot passages (``join_groups``).
     3. The distinct pieces of whole anchors form shards of bounded size. Each
        shard's compressed index (wavelet matrix over the transform, sampled
-       places) takes all its windows in backward search; those whose interval
-       holds an earlier place are reported. An anchor with very many pieces is
-       dealt out by window content, where equal windows still meet.
+       places) takes its pieces' matching statistics by backward search where
+       windows end; the intervals that reach the window's length and hold an
+       earlier place are reported. An anchor with very many pieces is dealt
+       out by window content, where equal windows still meet.
     4. The reports go back to the documents, which drop the words.
 
-    Null and empty texts have no words. A null id is larger than all others;
-    rows without an id, or of one id, count as one document in which each row's
-    words have their own places, and rows that repeat id and text are treated
-    alike. An empty table gives an empty result; further columns are not
-    looked at. Texts are worked on whole, a bounded number of bytes at a time.
+    Null and empty texts have no words. Every row is a document of its own:
+    rows of one id follow each other in the order in which they were read, a
+    null id is larger than all others. An empty table gives an empty result;
+    further columns are not looked at. Texts are worked on whole, a bounded
+    number of bytes at a time.
     """
     if not _ANCHOR <= window <= 64 + _ANCHOR - 1:
         raise ValueError("windows are of 5 to 68 words")
     spark, top = docs.sparkSession, shared_dir(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(_emit(window), f"id {kind}, at int, n int, anchor long, content long")
+    packed = rows.mapInArrow(_packed, f"id {kind}, z binary")
+    packed = stash(packed.select("id", F.monotonically_increasing_id().alias("rid"), "z"), f"{top}/texts")
+    found = packed.mapInArrow(_emit(window), f"id {kind}, rid long, at int, n int, anchor long, content binary")
     twice = found.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
     cand = stash(found.join(twice, "anchor", "left_semi"), f"{top}/candidates")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first")
-    classes = stash(cand.groupBy("anchor", "content", "n").agg(first).select("anchor", "content", "first.id", "first.at"), f"{top}/classes")
-
-    crowd = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor", F.ceil(F.col("m") / _CROWD).cast("int").alias("split"))
-    ask = classes.join(crowd, "anchor").groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("at", "anchor", "content", "split")).alias("ask"))
-    packed = rows.mapInArrow(_packed, f"id {kind}, z binary")
-    wanted = packed.join(ask.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of"))).select(F.lit(0), "z", "ask", "id")
-    schema = f"anchor long, sub int, id {kind}, at int, content long, skip int, words binary"
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid", "at")).alias("first")
+    classes = cand.groupBy("anchor", "content", "n").agg(first, F.count(F.lit(1)).alias("m"))
+    classes = stash(classes.select("anchor", "content", "n", "first.rid", "first.at", "m"), f"{top}/classes")
+
+    crowd = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", "k", F.ceil(F.col("k") / _CROWD).cast("int").alias("split"))
+    asked = join_groups(classes, crowd, {"anchor": "anchor"}, "k", ["split"], ["rid", "at"])
+    ask = asked.groupBy(F.col("rid").alias("of")).agg(F.collect_list(F.struct("at", "split")).alias("ask"))
+    wanted = packed.join(ask, F.col("rid") == F.col("of")).select("id", "rid", "z", "ask")
+    schema = f"anchor long, sub int, id {kind}, rid long, at int, skip int, words binary"
     dealt = wanted.mapInArrow(_fetch(window), schema).repartition("anchor", "sub").sortWithinPartitions("anchor", "sub")
-    marks = stash(dealt.mapInArrow(_search(window), f"id {kind}, at int, content long, mask long"), f"{top}/marks")
-
-    c = classes.select(F.col("anchor").alias("ca"), F.col("content").alias("cc"), F.col("id").alias("ci"), F.col("at").alias("cat"))
-    later = cand.join(c, (F.col("anchor") == F.col("ca")) & (F.col("content") == F.col("cc"))).where(~(F.col("id").eqNullSafe(F.col("ci")) & (F.col("at") == F.col("cat"))))
-    marks = marks.unionAll(later.select("id", "at", "content", F.lit(-1).cast("long").alias("mask")))
-    per = marks.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("at", "content", "mask")).alias("marks"))
-    out = packed.join(per.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of")), "left").select(F.lit(0), "z", "marks", "id")
+    marks = stash(dealt.mapInArrow(_search(window), "rid long, at int, mask long"), f"{top}/marks")
+
+    again = classes.where("m > 1").withColumnsRenamed({"rid": "first_rid", "at": "first_at"})
+    keys = {"anchor": "anchor", "content": "content", "n": "n"}
+    later = join_groups(cand.select("rid", "at", *keys), again, keys, "m", ["first_rid", "first_at"], ["rid", "at"])
+    later = later.where((F.col("rid") != F.col("first_rid")) | (F.col("at") != F.col("first_at")))
+    marks = marks.unionAll(later.select("rid", "at", F.lit(-1).cast("long").alias("mask")))
+    per = marks.groupBy(F.col("rid").alias("of")).agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
+    out = packed.join(per, F.col("rid") == F.col("of"), "left").select("id", "z", "marks")
     return out.mapInArrow(_remove(window), f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)

@@ -60,6 +60,25 @@ def test_words_kernel(texts, monkeypatch):
     assert [len(s) for s in _text.sets(w)] == [len({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))}) if (x := words_of(t)) else 0 for t in texts]
 
 
+def thue_morse(n):
+    """Two words that agree under any polynomial hash modulo 2^64."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_alike_words(spark):
+    for n in (4, 10, 13):
+        x, y = thue_morse(n)
+        assert len(set(_text.words(pa.array([x, y])).hash.tolist())) == 2
+    x, y = thue_morse(10)
+    head, tail = " ".join(f"h{k}" for k in range(12)), " ".join(f"t{k}" for k in range(12))
+    docs = docs_of(spark, [f"{head} {x} {tail}", f"{head} {y} {tail}"])
+    assert [r.n_removed for r in substring.substring_dedup(docs).collect()] == [0, 0]
+    assert sorted(r.component_id for r in near.near_groups(docs, threshold=85).collect()) == [0, 1]
+
+
 def test_index_against_scan():
     import numpy as np
 
@@ -88,6 +107,9 @@ def test_substring(spark, texts, monkeypatch, shard, crowd):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.substring_dedup(docs_of(spark, texts)).collect()}
     assert got == want
     assert substring.substring_dedup(docs_of(spark, ["a b"] * 2, [None, None])).count() == 2
+    # rows of one id, and of none, are documents of their own
+    long = " ".join(f"v{k}" for k in range(25))
+    assert sorted(r.n_removed for r in substring.substring_dedup(docs_of(spark, [long] * 4, [1, 1, None, None])).collect()) == [0, 25, 25, 25]
     assert substring.substring_dedup(docs_of(spark, [])).count() == 0
 
 
