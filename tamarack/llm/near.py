@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import PIECE, mixed, sets, slices, words
+from ._skew import join_groups
+from ._text import PIECE, grams, mixed, slices, words
 from ._work import shared_dir, stash
 
 #: Permutations; each gives its minimum and its maximum, so twice as many signature values, banded by fours. Texts at
@@ -17,8 +18,8 @@ from ._work import shared_dir, stash
 PERMUTATIONS, ROWS = 64, 4
 _VALUES = 2 * PERMUTATIONS
 _FACTORS = mixed(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
-#: Rows of one bucket that are compared at once.
-_BLOCK = 4096
+#: Rows of one bucket that are compared at once, rows of a cluster whose texts are, and rows of a larger cluster that all its blocks hold.
+_BLOCK, _CLUSTER, _PIVOTS = 4096, 1024, 16
 
 
 def signatures(shingles: list[np.ndarray]) -> np.ndarray:
@@ -43,22 +44,32 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def _least_equal(threshold: int) -> int:
-    """Equal signature values, of all, that a pair at the threshold shows but for a chance below 1e-9: six standard deviations under the mean."""
+    """Equal signature values, of all, that a pair at the threshold shows: seven standard deviations under the mean.
+
+    Were the values independent, a pair at 0.85 would show fewer with a chance of 1.1e-10 (0.80: 2.7e-11, exact binomial tails); they aren't quite, so recall is also measured (README).
+    """
     s = threshold / 100
-    return int(_VALUES * s - 6 * (_VALUES * s * (1 - s)) ** 0.5)
+    return int(_VALUES * s - 7 * (_VALUES * s * (1 - s)) ** 0.5)
 
 
 def _sketch(size: int):
+    """Set size, two sums over the set under independent word hashes, which tell sets apart by 128 bits, signature and bands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(2), PIECE // 4):
-                part = list(sets(words(batch.column(2).slice(lo, hi - lo), lower=True), size))
+                w = words(batch.column(2).slice(lo, hi - lo), lower=True)
+                (h, first), (g, _) = grams(w, size), grams(w.other(), size)
+                part, s1, s2 = [], np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
+                for i in range(hi - lo):
+                    own, at = np.unique(h[first[i] : first[i + 1]], return_index=True)
+                    part.append(own)
+                    s1[i], s2[i] = mixed(own ^ np.uint64(1)).sum(dtype=np.uint64), mixed(g[first[i] + at]).sum(dtype=np.uint64)
                 n = np.array([len(s) for s in part], np.int64)
                 full = np.flatnonzero(n)
                 sig = np.zeros((len(part), _VALUES), np.uint64)
                 if len(full):
                     sig[full] = signatures([part[i] for i in full])
-                s1, s2 = (np.array([f(mixed(s ^ np.uint64(c))) if len(s) else 0 for s in part], np.uint64) for f, c in ((np.sum, 1), (np.bitwise_xor.reduce, 2)))
                 keys = bands(sig).view(np.int64)
                 offsets = np.arange(len(part) + 1, dtype=np.int32) * keys.shape[1]
                 yield pa.RecordBatch.from_arrays(
@@ -69,16 +80,26 @@ def _sketch(size: int):
     return run
 
 
-def _sets_of(size: int):
-    """cid and the sorted set as bytes, of the rows whose set is that of the class."""
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cid and the text's words, A-Z lower-cased, joined by one space."""
+    for batch in batches:
+        text = [b" ".join((t or b"").lower().split()) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.binary())], ["cid", "members"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in slices(batch.column(1), PIECE // 4):
-                part = [s.tobytes() for s in sets(words(batch.column(1).slice(lo, hi - lo), lower=True), size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(part, pa.binary())], ["cid", "members"])
 
-    return run
+def exact_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Sorted numbers of each text's distinct runs of ``size`` words (of all its words, if fewer); equal numbers mean equal bytes. No text may be empty."""
+    known: dict[bytes, int] = {}
+    seqs = [np.array([known.setdefault(x, len(known)) for x in t.split(b" ")], np.int64) for t in texts]
+    count = np.array([len(s) for s in seqs])
+    at = np.concatenate([[0], np.cumsum(count)])
+    flat = np.concatenate(seqs)
+    short = {i: tuple(seqs[i].tolist()) for i in np.flatnonzero(count < size).tolist()}
+    run, many = flat[: max(len(flat) - size + 1, 0)], len(known) + 1
+    for j in range(1, size):
+        run = np.unique(run * many + flat[j : len(flat) - size + 1 + j], return_inverse=True)[1]
+    names = {s: len(flat) + k for k, s in enumerate(dict.fromkeys(short.values()))}
+    return [np.array([names[short[i]]]) if i in short else np.unique(run[at[i] : at[i + 1] - size + 1]) for i in range(len(texts))]
 
 
 def _sigs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -141,8 +162,11 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _confirm(threshold: int):
-    """Of one block of a cluster: links that join what whole sets link, fewer than rows."""
+def _confirm(threshold: int, size: int):
+    """Of one block of a cluster: links, confirmed on whole sets of words' bytes, that join what has different labels; fewer than rows.
+
+    Rows of side 1 are compared with those of side 0; without any, all with each other.
+    """
     least = _least_equal(threshold)
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -154,11 +178,11 @@ def _confirm(threshold: int):
 
     def run(table: pa.Table) -> pa.Table:
         cid, n, side = (table.column(c).to_numpy() for c in ("cid", "n", "side"))
-        sig, sets_ = _sigs(table.column("sig")), [np.frombuffer(v, np.uint64) for v in table.column("members").to_pylist()]
-        label, every, out = np.arange(len(cid)), np.arange(len(cid)), []
-        across = (side == 1).any()
-        for x in np.flatnonzero(side == 0).tolist():
-            y = np.flatnonzero((label != label[x]) & ((side == 1) if across else (every > x)))
+        sig, sets_ = _sigs(table.column("sig")), exact_sets(table.column("members").to_pylist(), size)
+        label = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+        every, out, across = np.arange(len(cid)), [], (side == 1).any()
+        for x in np.flatnonzero(side == (1 if across else 0)).tolist():
+            y = np.flatnonzero((label != label[x]) & ((side == 0) if across else (every > x)))
             y, equal = _alike(x, y, n, sig, threshold, least)
             for z in y[np.argsort(-equal, kind="stable")].tolist():
                 if label[z] != label[x] and linked(sets_[x], sets_[z]):
@@ -170,15 +194,45 @@ def _confirm(threshold: int):
     return run
 
 
+def confirmed(full: DataFrame, threshold: int, size: int, path: str) -> DataFrame:
+    """Links ``a, b`` that join all classes of each cluster which whole sets link.
+
+    ``full`` holds ``root, m, cid, n, sig, members``. A cluster of up to
+    _CLUSTER classes is one group. Those of a larger one are dealt into blocks,
+    each with some _PIVOTS classes that all blocks of the cluster hold, so that
+    near copies of one text join in one round, without pairs of blocks. Of what
+    is then apart, every class outside the cluster's largest part is compared
+    with all of the cluster, in blocks; nothing else can add a link.
+    """
+    blocks_ = F.ceil(F.col("m") / _CLUSTER).cast("int")
+    own = lambda of: F.pmod(F.xxhash64("cid"), of).cast("int")
+    pivot = (F.col("nb") > 1) & (F.pmod(F.xxhash64("cid", F.lit(1)), F.col("m")) < _PIVOTS)
+    rows = full.withColumn("nb", blocks_)
+    alone = rows.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(own(F.col("nb"))))))
+    alone = alone.select("root", "i", "cid", "n", "sig", "members", F.lit(0).alias("side"), F.col("cid").alias("label"))
+    links = stash(alone.groupBy("root", "i").applyInArrow(_confirm(threshold, size), "a long, b long"), f"{path}-alone")
+    large = rows.where("nb > 1")
+    if large.isEmpty():
+        return links
+    parts = stash(components(links, f"{path}-parts"), f"{path}-labels").withColumnsRenamed({"node": "of", "root": "part"})
+    large = large.join(parts, F.col("cid") == F.col("of"), "left").withColumn("label", F.coalesce("part", "cid")).drop("of", "part")
+    sizes = large.groupBy("root", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.sum("k").alias("k"), F.max("k").alias("most"))
+    sizes = sizes.where("k > most").withColumn("no", F.ceil((F.col("k") - F.col("most")) / _CLUSTER).cast("int"))
+    rest = join_groups(large, sizes, {"root": "root"}, "k", ["top", "no"], ["cid"])
+    one = rest.withColumn("i", own(F.col("nb"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("no") - 1))).withColumn("side", F.lit(0))
+    two = rest.where("label <> top").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("j", own(F.col("no"))).withColumn("side", F.lit(1))
+    more = one.unionByName(two).select("root", "i", "j", "cid", "n", "sig", "members", "side", "label")
+    return links.unionAll(stash(more.groupBy("root", "i", "j").applyInArrow(_confirm(threshold, size), "a long, b long"), f"{path}-across"))
+
+
 def blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Rows of keys with ``m`` rows each, dealt into all pairs (i, j) of the key's blocks of about ``most`` rows; ``side`` is 1 for rows of the larger one.
+    """Rows of keys with ``m`` rows each, dealt into all pairs (i, j) of the key's blocks of about ``most`` rows.
 
     The size comes with each row, so that nothing here shuffles on the key alone.
     """
     dealt = rows.withColumn("nb", F.ceil(F.col("m") / most).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
-    return dealt.select(*[c for c in rows.columns if c != "m"], F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    return dealt.select(*[c for c in rows.columns if c != "m"], F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
 def components(links: DataFrame, path: str) -> DataFrame:
@@ -191,11 +245,11 @@ def components(links: DataFrame, path: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
         state, k = now, k + 1
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("k"))
+        large = join_groups(both.where("v > u"), least, {"u": "u"}, "k", ["m"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stash(large, f"{path}-{k}l")
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
-        small = large.join(least, F.col("u") == F.col("c")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+        small = join_groups(large, least, {"u": "u"}, "k", ["m"], ["v"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = stash(small.where("u <> v").distinct(), f"{path}-{k}s")
 
 
@@ -207,13 +261,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     it has fewer. Texts whose sets reach ``threshold`` per cent of their union
     are linked, ``component_id`` is the smallest id reachable.
 
-    Equal sets are one class, told apart by a 128-bit sum. Classes that share a
-    band and whose sizes and signatures leave the threshold within reach (six
-    standard deviations) form clusters; each bucket adds the pairs that span
-    it, fewer than its rows. Within a cluster whole sets decide, and again only
-    links that join components are made. Large buckets and clusters are
-    compared in blocks over many tasks; a pair whose ends a task has joined
-    already is not compared. No cap ends the search.
+    Equal sets are one class, told apart by 128 bits of two independent hashes.
+    Classes that share a band and whose sizes and signatures leave the
+    threshold within reach (seven standard deviations) form clusters; each
+    bucket adds the pairs that span it, fewer than its rows. Within a cluster
+    whole sets of words' bytes decide, and again only links that join
+    components are made (``confirmed``). Keys that hold a large share of the
+    rows (a class of many copies, a hub, a bucket, a cluster) are met by
+    broadcast (``join_groups``) or in blocks over many tasks. No cap ends the
+    search.
 
     Null and empty texts have size 0, no links and their own id. Ids may
     repeat; null ids come last, so that ``component_id`` is null only where
@@ -226,12 +282,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = stash(rows.mapInArrow(_sketch(size), f"id {kind}, th long, n long, s1 long, s2 long, sig binary, bands array<long>"), f"{top}/sketch")
     key = ["n", "s1", "s2"]
     who = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("who")
-    classes = sketch.where("n > 0").groupBy(*key).agg(who, F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = stash(classes.select(F.monotonically_increasing_id().alias("cid"), *key, F.col("who.id").alias("rep"), F.col("who.th").alias("th"), "sig", "bands"), f"{top}/classes")
+    classes = sketch.where("n > 0").groupBy(*key).agg(who, F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
+    classes = stash(classes.select(F.monotonically_increasing_id().alias("cid"), *key, F.col("who.id").alias("rep"), F.col("who.th").alias("th"), "sig", "bands", "rows"), f"{top}/classes")
 
     band = classes.select("cid", "n", F.explode("bands").alias("b"))
     shared = band.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    cand = stash(band.join(shared, "b").join(classes.select("cid", "sig"), "cid").select("b", "m", "cid", "n", "sig"), f"{top}/cand")
+    cand = stash(join_groups(band, shared, {"b": "b"}, "m", ["m"], ["cid"]).join(classes.select("cid", "sig"), "cid").select("b", "m", "cid", "n", "sig"), f"{top}/cand")
 
     # clusters: what sizes and signatures let be linked; a bucket gives fewer pairs than it has rows
     dealt = blocks(cand, _BLOCK).select("b", "i", "j", "cid", "n", "sig")
@@ -239,23 +295,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = stash(dealt.mapInArrow(_forest(threshold), "a long, b long").distinct(), f"{top}/pairs")
     clusters = stash(components(pairs, f"{top}/near"), f"{top}/clusters")
     clusters = clusters.unionAll(clusters.select(F.col("root"), "root").distinct())
-    clusters = clusters.join(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root")
+    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    clusters = join_groups(clusters, sizes, {"root": "root"}, "m", ["m"], ["node"])
 
     # the sets of the clusters' classes, compared in blocks
     need = clusters.join(classes, F.col("node") == F.col("cid")).select("cid", "rep", F.col("th").alias("h"))
     texts = rows.join(need.hint("shuffle_hash"), (F.col("th") == F.col("h")) & F.col("id").eqNullSafe(F.col("rep"))).select("cid", "text")
-    members = texts.mapInArrow(_sets_of(size), "cid long, members binary")
+    members = texts.dropDuplicates(["cid"]).mapInArrow(_words_of, "cid long, members binary")
     full = clusters.join(classes.select("cid", "n", "sig"), F.col("node") == F.col("cid")).drop("cid").join(members, F.col("node") == F.col("cid")).select("root", "m", "cid", "n", "sig", "members")
-    full = blocks(stash(full, f"{top}/full"), _BLOCK // 4)
-    links = stash(full.groupBy("root", "i", "j").applyInArrow(_confirm(threshold), "a long, b long"), f"{top}/links")
+    links = confirmed(stash(full, f"{top}/full"), threshold, size, f"{top}/links")
     roots = stash(components(links, f"{top}/linked"), f"{top}/roots")
-    placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select(*key, "rep", F.coalesce("root", "cid").alias("comp"))
-    least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    placed = placed.join(least, "comp").select(*[F.col(c).alias(f"c_{c}") for c in key], "component_id")
-    same = [F.col(c) == F.col(f"c_{c}") for c in key]
-    out = sketch.select("id", *key).join(placed, same[0] & same[1] & same[2], "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select(*key, "rep", "rows", F.coalesce("root", "cid").alias("comp"))
+    least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    placed = stash(join_groups(placed, least, {"comp": "comp"}, "m", ["component_id"], [*key]).select(*key, "rows", "component_id"), f"{top}/placed")
+    found = join_groups(sketch.where("n > 0").select("id", *key), placed, {c: c for c in key}, "rows", ["component_id"], ["id"])
+    out = found.unionByName(sketch.where("n = 0").select("id", *key, F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> DataFrame:

@@ -131,6 +131,8 @@ def test_lines(spark, texts):
 @pytest.mark.parametrize("block", [4096, 8])
 def test_near(spark, texts, monkeypatch, block):
     monkeypatch.setattr(near, "_BLOCK", block)
+    monkeypatch.setattr(near, "_CLUSTER", block)
+    monkeypatch.setattr(near, "_PIVOTS", 2)
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words_of(t)) else set() for t in texts]
     root = list(range(len(texts)))
     for _ in texts:
