@@ -91,6 +91,15 @@ select conv_id, count(*) as n_turns,
     + length(regexp_replace(role || text, '[^<\[\\]', '', 'g'))
     + case when role = 'assistant' then 9 else 8 end + 8 + 7) as bigint) as formatted_chars
 from t group by conv_id""",
+    "op2_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, unnest(range(1, len(w) - 18)) as pos, w from d where len(w) >= 20),
+x as (select doc_id, pos, row_number() over (partition by array_to_string(w[pos:pos+19], ' ') order by doc_id, pos) > 1 as again from p),
+g as (select distinct doc_id, unnest(range(pos, pos + 20)) as pos from x where again),
+r as (select doc_id, list(pos) as gone, count(*) as n from g group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(r.n, 0) as bigint) as n_removed,
+  sha256(array_to_string(case when r.n is null then w else list_filter(w, lambda x, i: not list_contains(r.gone, i)) end, ' ')) as kept_sha256
+from d left join r on d.doc_id = r.doc_id""",
     "op3_line_dedup": r"""
 with l as (
   select doc_id, u.pos as pos, u.line as line,
@@ -101,6 +110,18 @@ bad as (select key from l where key <> '' group by key having count(distinct doc
 select doc_id, count(*) as n_lines, count(*) filter (key in (select key from bad)) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (key not in (select key from bad)), '')) as kept_sha256
 from l group by doc_id""",
+    "op4_minhash_near": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' '))) as g from w where len(w) > 0),
+n as (select doc_id, count(*) as n from g group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, other) as (select a, b from e union select r.doc_id, e.b from r join e on r.other = e.a),
+c as (select doc_id, min(other) as least from r group by doc_id)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) as component_id,
+  w.doc_id = least(w.doc_id, coalesce(c.least, w.doc_id)) as kept
+from w left join n on n.doc_id = w.doc_id left join c on c.doc_id = w.doc_id""",
     "op5_mixing": rf"""
 with d as (select doc_id, source, {_WORDS} as size, md5(cast(doc_id as varchar)) as hash from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
