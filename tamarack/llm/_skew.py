@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 MOST_HOT = 10_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: dict[str, str], count: str, take: list[str], spread: list[str | Column], inner: bool = True) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, on: dict[str, str], count: str, take: list[str], spread: list[str | Column], inner: bool = True, total: int | None = None) -> DataFrame:
     """``rows`` with the columns ``take`` of the group that each belongs to.
 
     ``on`` maps columns of ``rows`` to those of ``groups`` (never null), whose
@@ -17,9 +17,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: dict[str, str], count: s
     Groups of more than one in MOST_HOT rows, hence MOST_HOT at most, are
     broadcast, and their rows go on by a hash of ``spread`` alone; the others
     meet in a shuffle, where no key has more than one in MOST_HOT of the rows.
-    Rows without a group stay, with nulls, unless ``inner``.
+    Rows without a group stay, with nulls, unless ``inner``. ``total`` is the
+    sum of ``count`` or more than that, where it is known.
     """
-    total = groups.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = groups.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) * MOST_HOT > F.lit(int(total))
     keys = [F.col(f"`{g}`").alias(f"__k{i}") for i, g in enumerate(on.values())]
     found = F.struct(*[F.col(f"`{c}`") for c in take])

@@ -152,11 +152,29 @@ def _forest(threshold: int):
                 out += spanned(cid[part], n[part], sig[part])
             rest = [x[whole:] for x in rest]
             u, v = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+            yield _stars(u, v)
 
     return run
 
 
+def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Pairs as others that join the same: each node with the smallest of its part, so that chains don't take rounds to shrink."""
+    node, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, least = flat[: len(u)], flat[len(u) :], np.arange(len(node))
+    while True:
+        low = np.minimum(least[a], least[b])
+        new = least.copy()
+        for side in (a, b):
+            np.minimum.at(new, least[side], low)
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if np.array_equal(new, least):
+            break
+        least = new
+    far = least != np.arange(len(node))
+    return pa.RecordBatch.from_arrays([pa.array(node[least[far]]), pa.array(node[far])], ["a", "b"])
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -188,14 +206,13 @@ def _confirm(threshold: int, size: int):
                 if label[z] != label[x] and linked(sets_[x], sets_[z]):
                     out.append((min(cid[x], cid[z]), max(cid[x], cid[z])))
                     label[label == label[z]] = label[x]
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        return pa.Table.from_batches([_stars(*np.array(out, np.int64).reshape(-1, 2).T)])
 
     return run
 
 
 def confirmed(full: DataFrame, threshold: int, size: int, path: str) -> DataFrame:
-    """Links ``a, b`` that join all classes of each cluster which whole sets link.
+    """``node, root`` of the classes of each cluster that whole sets link with others.
 
     ``full`` holds ``root, m, cid, n, sig, members``. A cluster of up to
     _CLUSTER classes is one group. Those of a larger one are dealt into blocks,
@@ -210,19 +227,23 @@ def confirmed(full: DataFrame, threshold: int, size: int, path: str) -> DataFram
     rows = full.withColumn("nb", blocks_)
     alone = rows.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(own(F.col("nb"))))))
     alone = alone.select("root", "i", "cid", "n", "sig", "members", F.lit(0).alias("side"), F.col("cid").alias("label"))
-    links = stash(alone.groupBy("root", "i").applyInArrow(_confirm(threshold, size), "a long, b long"), f"{path}-alone")
+    links = alone.groupBy("root", "i").applyInArrow(_confirm(threshold, size), "a long, b long")
+    parts = stash(components(links, f"{path}-alone"), f"{path}-parts")
     large = rows.where("nb > 1")
     if large.isEmpty():
-        return links
-    parts = stash(components(links, f"{path}-parts"), f"{path}-labels").withColumnsRenamed({"node": "of", "root": "part"})
-    large = large.join(parts, F.col("cid") == F.col("of"), "left").withColumn("label", F.coalesce("part", "cid")).drop("of", "part")
+        return parts
+    labels = parts.withColumnsRenamed({"node": "of", "root": "part"})
+    large = large.join(labels, F.col("cid") == F.col("of"), "left").withColumn("label", F.coalesce("part", "cid")).drop("of", "part")
     sizes = large.groupBy("root", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.sum("k").alias("k"), F.max("k").alias("most"))
-    sizes = sizes.where("k > most").withColumn("no", F.ceil((F.col("k") - F.col("most")) / _CLUSTER).cast("int"))
+    sizes = stash(sizes.where("k > most").withColumn("no", F.ceil((F.col("k") - F.col("most")) / _CLUSTER).cast("int")), f"{path}-open")
+    if sizes.isEmpty():
+        return parts
     rest = join_groups(large, sizes, {"root": "root"}, "k", ["top", "no"], ["cid"])
     one = rest.withColumn("i", own(F.col("nb"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("no") - 1))).withColumn("side", F.lit(0))
     two = rest.where("label <> top").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("j", own(F.col("no"))).withColumn("side", F.lit(1))
     more = one.unionByName(two).select("root", "i", "j", "cid", "n", "sig", "members", "side", "label")
-    return links.unionAll(stash(more.groupBy("root", "i", "j").applyInArrow(_confirm(threshold, size), "a long, b long"), f"{path}-across"))
+    more = more.groupBy("root", "i", "j").applyInArrow(_confirm(threshold, size), "a long, b long")
+    return stash(components(more.unionAll(parts.select("node", "root")), f"{path}-across"), f"{path}-all")
 
 
 def blocks(rows: DataFrame, most: int) -> DataFrame:
@@ -246,10 +267,10 @@ def components(links: DataFrame, path: str) -> DataFrame:
         state, k = now, k + 1
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("k"))
-        large = join_groups(both.where("v > u"), least, {"u": "u"}, "k", ["m"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_groups(both.where("v > u"), least, {"u": "u"}, "k", ["m"], ["v"], total=2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stash(large, f"{path}-{k}l")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
-        small = join_groups(large, least, {"u": "u"}, "k", ["m"], ["v"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = join_groups(large, least, {"u": "u"}, "k", ["m"], ["v"], total=2 * now[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = stash(small.where("u <> v").distinct(), f"{path}-{k}s")
 
 
@@ -287,7 +308,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     band = classes.select("cid", "n", F.explode("bands").alias("b"))
     shared = band.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    cand = stash(join_groups(band, shared, {"b": "b"}, "m", ["m"], ["cid"]).join(classes.select("cid", "sig"), "cid").select("b", "m", "cid", "n", "sig"), f"{top}/cand")
+    cand = stash(join_groups(band, shared, {"b": "b"}, "m", ["m"], ["cid"], total=classes.count() * (_VALUES // ROWS)).join(classes.select("cid", "sig"), "cid").select("b", "m", "cid", "n", "sig"), f"{top}/cand")
 
     # clusters: what sizes and signatures let be linked; a bucket gives fewer pairs than it has rows
     dealt = blocks(cand, _BLOCK).select("b", "i", "j", "cid", "n", "sig")
@@ -296,19 +317,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     clusters = stash(components(pairs, f"{top}/near"), f"{top}/clusters")
     clusters = clusters.unionAll(clusters.select(F.col("root"), "root").distinct())
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    clusters = join_groups(clusters, sizes, {"root": "root"}, "m", ["m"], ["node"])
+    clusters = join_groups(clusters, sizes, {"root": "root"}, "m", ["m"], ["node"], total=clusters.count())
 
     # the sets of the clusters' classes, compared in blocks
     need = clusters.join(classes, F.col("node") == F.col("cid")).select("cid", "rep", F.col("th").alias("h"))
     texts = rows.join(need.hint("shuffle_hash"), (F.col("th") == F.col("h")) & F.col("id").eqNullSafe(F.col("rep"))).select("cid", "text")
     members = texts.dropDuplicates(["cid"]).mapInArrow(_words_of, "cid long, members binary")
     full = clusters.join(classes.select("cid", "n", "sig"), F.col("node") == F.col("cid")).drop("cid").join(members, F.col("node") == F.col("cid")).select("root", "m", "cid", "n", "sig", "members")
-    links = confirmed(stash(full, f"{top}/full"), threshold, size, f"{top}/links")
-    roots = stash(components(links, f"{top}/linked"), f"{top}/roots")
+    roots = confirmed(stash(full, f"{top}/full"), threshold, size, f"{top}/linked")
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select(*key, "rep", "rows", F.coalesce("root", "cid").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m"))
-    placed = stash(join_groups(placed, least, {"comp": "comp"}, "m", ["component_id"], [*key]).select(*key, "rows", "component_id"), f"{top}/placed")
-    found = join_groups(sketch.where("n > 0").select("id", *key), placed, {c: c for c in key}, "rows", ["component_id"], ["id"])
+    placed = stash(join_groups(placed, least, {"comp": "comp"}, "m", ["component_id"], [*key], total=classes.count()).select(*key, "rows", "component_id"), f"{top}/placed")
+    found = join_groups(sketch.where("n > 0").select("id", *key), placed, {c: c for c in key}, "rows", ["component_id"], ["id"], total=sketch.count())
     out = found.unionByName(sketch.where("n = 0").select("id", *key, F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
 

@@ -93,13 +93,14 @@ select conv_id, count(*) as n_turns,
 from t group by conv_id""",
     "op2_substring_dedup": r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
-p as (select doc_id, unnest(range(1, len(w) - 18)) as pos, w from d where len(w) >= 20),
-x as (select doc_id, pos, row_number() over (partition by array_to_string(w[pos:pos+19], ' ') order by doc_id, pos) > 1 as again from p),
+z as (select doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: {'pos': i, 'run': md5(array_to_string(w[i:i+19], ' '))})) as z from d where len(w) >= 20),
+x as (select doc_id, z.pos as pos, row_number() over (partition by z.run order by doc_id, z.pos) > 1 as again from z),
 g as (select distinct doc_id, unnest(range(pos, pos + 20)) as pos from x where again),
-r as (select doc_id, list(pos) as gone, count(*) as n from g group by doc_id)
-select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(r.n, 0) as bigint) as n_removed,
-  sha256(array_to_string(case when r.n is null then w else list_filter(w, lambda x, i: not list_contains(r.gone, i)) end, ' ')) as kept_sha256
-from d left join r on d.doc_id = r.doc_id""",
+o as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from d),
+k as (select o.doc_id, count(g.pos) as n, string_agg(word, ' ' order by o.pos) filter (g.pos is null) as kept
+  from o left join g on g.doc_id = o.doc_id and g.pos = o.pos group by o.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(k.n, 0) as bigint) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from d left join k on d.doc_id = k.doc_id""",
     "op3_line_dedup": r"""
 with l as (
   select doc_id, u.pos as pos, u.line as line,
