@@ -22,8 +22,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _QUAD = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_HOST = re.compile(r"[A-Za-z0-9]")
 _URL = re.compile(r"[^\s<>\"'`|\\^{}\[\]]+")
-_VALUE = re.compile(r"[ \t]*(?:no\.?|number|#)?[ \t]*(?:[:=#]|is)?[ \t]*([A-Za-z0-9][A-Za-z0-9_-]{4,63})(?![A-Za-z0-9_-])", re.I)
+# Blank runs are possessive, so that none is tried at several lengths.
+_VALUE = re.compile(r"[ \t]*+(?:(?:(?:no\.?|number)(?![A-Za-z0-9])|#)[ \t]*+)?(?:(?:[:=#]|is(?![A-Za-z0-9]))[ \t]*+)?[\"']?([A-Za-z0-9][A-Za-z0-9_-]{4,63})(?![A-Za-z0-9_-])", re.I)
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -85,11 +87,11 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, i
                 if 9 <= sum(c in "0123456789" for c in m[0]) <= 15:
                     out.append(("phone", at, m.end()))
         elif kind == "url":
-            if at >= done["url"] and (m := _URL.match(text, last + 1)):
-                end = last + 1 + len(m[0].rstrip(".,;:!?)"))
-                if end > last + 1 and re.match(r"[A-Za-z0-9]", text[last + 1]):
-                    done["url"] = end
-                    out.append(("url", at, end))
+            # a host begins with a letter or digit; what doesn't is refused unread
+            if at >= done["url"] and _HOST.match(text, last + 1):
+                m = _URL.match(text, last + 1)
+                done["url"] = m.end()
+                out.append(("url", at, last + 1 + len(m[0].rstrip(".,;:!?)"))))
         elif (at == 0 or not text[at - 1].isalnum()) and (m := _VALUE.match(text, last + 1)) and any(c in "0123456789" for c in m[1]) and m.start(1) >= done["account"]:
             done["account"] = m.end(1)
             out.append(("account", m.start(1), m.end(1)))
@@ -104,7 +106,8 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     From each a parser grows an e-mail address, phone number, IP address, card
     number, URL or account identifier to its bounds and checks it. Base kinds
     (``BASE``) are exactly the matches of their patterns; ``url`` and
-    ``account`` are more, and may overlap them. Null and empty texts have none.
+    ``account`` (numbers, tokens and secrets behind a cue, quoted or not) are
+    more, and may overlap them. Null and empty texts have none.
     Texts are scanned whole and in one pass; rows repeat as they come; further
     columns are not looked at.
     """
@@ -122,7 +125,10 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id>, redacted``: each span, merged where spans overlap, as the first one's kind in angle brackets."""
+    """``<id>, redacted``: each span, merged where spans overlap, as the first one's kind in angle brackets.
+
+    Null texts come back empty; rows, ids and repeats stay as they are.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -206,11 +206,30 @@ def test_pii(spark):
     for _ in range(20000):
         t = "".join(rng.choice("a@.+-0123459 (é%") for _ in range(rng.randrange(60)))
         assert [s for s in pii.find_spans(t, automaton) if s[0] in pii.BASE] == base_spans(t)
+    import time
+
+    for t in ["token" + " " * 10**6 + "!", "account no" + "\t" * 10**6, "http://-" * 125_000, "http://a!" * 110_000, "token " * 160_000, "a@" * 500_000, "1." * 500_000, "+1 (" * 250_000, "a." * 500_000 + "@"]:
+        began = time.time()
+        pii.find_spans(t, automaton)
+        assert time.time() - began < 5, t[:20]
+    t = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962", account island1'
+    assert [(k, t[a:b]) for k, a, b in pii.find_spans(t, automaton)] == [("account", "04dbebab91ab85687d33eeaaf9ac699e1188f962"), ("account", "island1")]
+    assert pii.pii_spans(docs_of(spark, [])).count() == 0
+    assert [r.spans for r in pii.pii_spans(docs_of(spark, [None, "x"], [None, None])).collect()] == [[], []]
     t = "see https://a.example/x?y=1. account no 12345678, mail é a.b@c.de"
     assert [(k, t[a:b]) for k, a, b in pii.find_spans(t, automaton)] == [("url", "https://a.example/x?y=1"), ("account", "12345678"), ("email", "a.b@c.de")]
     assert [r.redacted for r in pii.redact(docs_of(spark, ["to a@b.cd now", None])).collect()] == ["to <email> now", ""]
 
 
+def test_pii_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    got = {r.doc_id: (r.base_sha256, [getattr(r, f"n_{k}") for k in pii.BASE]) for r in queries.op7_pii(spark, "/root/testdata/sf0.01").collect()}
+    for d in docs:
+        spans = base_spans(d.text or "")
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert got[d.doc_id] == (hashlib.sha256(line.encode()).hexdigest(), [sum(k == s[0] for s in spans) for k in pii.BASE])
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", r"\<|end|> [x] <"), (1, 0, "user", None), (2, 0, None, "<|reply|>\\"), (None, None, "user", "")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
