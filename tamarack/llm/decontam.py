@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ._text import Words, grams, sets, slices, words
+from ._work import shared_dir, stash
 
 #: Shingles of the benchmark items that one pass over the documents searches for.
 BLOCK = 1 << 19
@@ -105,7 +107,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     fewer than ``size`` words has one shingle, the whole of it, so that such an
     item is found in documents of just those words. The benchmark is searched
     in blocks of bounded size, one pass over the documents each, without a
-    shuffle; sketches find candidates (none is missed), words decide.
+    shuffle and one block at a time; sketches find candidates (none is missed), words decide.
 
     Null and empty texts and items hold and match nothing. Repeated documents
     and items are found one by one, null ids are kept. An empty table on
@@ -115,9 +117,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, n_shared long, n_item long"
-    out = spark.createDataFrame([], schema)
+    found, top = [], shared_dir(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     for items in blocks(benchmark, item_col, item_text, percent, size, block):
+        if found:  # written before the next block is sent out, so that no machine holds more than one
+            found[-1] = stash(found[-1], f"{top}/block{len(found)}")
+            shared.unpersist()
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -131,14 +136,21 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         [id_col, item_col, "n_shared", "n_item"],
                     )
 
-        out = out.unionAll(rows.mapInArrow(run, schema))
-    return out
+        found.append(rows.mapInArrow(run, schema))
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", percent: int = 80, size: int = 5, block: int = BLOCK) -> DataFrame:
-    """``docs``, all columns, without the rows that ``find_items`` finds; each block of items is one more pass in the same stage."""
-    spark, at = docs.sparkSession, docs.columns.index(text_col)
-    for items in blocks(benchmark, item_col, item_text, percent, size, block):
+    """``docs``, all columns, without the rows that ``find_items`` finds.
+
+    Each block of items is one pass; what it leaves is written for the next, so
+    that no machine holds more than one block. Rows of null id or text stay.
+    """
+    spark, at, top = docs.sparkSession, docs.columns.index(text_col), shared_dir(docs.sparkSession)
+    for k, items in enumerate(blocks(benchmark, item_col, item_text, percent, size, block)):
+        if k:
+            docs = stash(docs, f"{top}/left{k}")
+            shared.unpersist()
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
