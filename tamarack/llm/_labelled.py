@@ -27,7 +27,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     first = [usable.where(F.col("y") == c).orderBy(F.xxhash64("of"), "of").limit(most[c]) for c in (0, 1)]
     chosen = F.broadcast(first[0].unionAll(first[1]))
-    rows = docs.join(chosen, docs[id_col] == chosen["of"]).select(F.xxhash64("of").alias("h"), "of", F.col(text_col).cast("string").alias("text"), "y")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = texts.join(chosen, F.col("id") == F.col("of")).select(F.xxhash64("of").alias("h"), "of", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[0], str(r[1]), r[2] or "", r[3]))
