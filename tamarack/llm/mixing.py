@@ -55,7 +55,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     The hash is md5 of the id as text, or of the text where the id is null;
     rows that agree in it are taken together. Null or empty texts have size 0
     and are taken 0 words; a null source is one source, the last. Further
-    columns are not looked at. An empty table gives an empty result.
+    columns are not looked at; with ``rows_only`` one named ``copies`` is
+    replaced. An empty table gives an empty result.
     """
     spark, top = docs.sparkSession, shared_dir(docs.sparkSession)
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("t"), F.coalesce(F.col(text_col), F.lit("")))))
@@ -88,6 +89,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     more = F.coalesce((F.col("hash") < F.col("limit")) | ((F.col("hash") == F.col("limit")) & F.col("with")), F.lit(False))
     times = F.col("times") + more.cast("long")
     if rows_only:
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own).join(per, F.col("source").eqNullSafe(F.col("s")))
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"]).alias("row"), *own).join(per, F.col("source").eqNullSafe(F.col("s")))
         return rows.where((F.col("size") > 0) & (times > 0)).select("row.*", times.alias("copies"))
     return sizes.join(per, F.col("source").eqNullSafe(F.col("s"))).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"))
