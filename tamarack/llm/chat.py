@@ -23,7 +23,7 @@ def unescape(text: Column) -> Column:
 
 
 def field_paths(schema: T.DataType, at: str = "") -> list[str]:
-    """Nested field paths with their leaf types, arrays as ``[]``."""
+    """Nested field paths of a schema, arrays as ``[]``."""
     if isinstance(schema, T.StructType):
         return [p for f in schema.fields for p in field_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
     if isinstance(schema, T.ArrayType):
@@ -49,10 +49,6 @@ class Mapping:
     paths: tuple[str, ...]
     turns: Callable[[Callable[[str], Column]], Column]
 
-    @property
-    def fingerprint(self) -> str:
-        return fingerprint(list(self.paths))
-
 
 def _messages(array: str, role: str, text: str) -> Mapping:
     return Mapping((f"{array}[].{role}", f"{array}[].{text}"), lambda c: F.transform(c(array), lambda m: _turn(m[role], m[text])))
@@ -70,8 +66,30 @@ LAYOUTS = {
         lambda c: F.array(_turn("user", F.when(F.coalesce(c("input"), F.lit("")) == "", c("instruction")).otherwise(F.concat_ws("\n", c("instruction"), c("input")))), _turn("assistant", c("output"))),
     ),
 }
-#: Rows by turn: the paths of a table with one row for each turn, and what they mean.
-TURN_ROWS = {"conv_id": "conversation", "turn": "order", "role": "role", "text": "text"}
+
+
+@dataclass(frozen=True)
+class TurnRows:
+    """A layout with one row a turn: the columns that name the conversation, its order, the role and the text."""
+
+    conversation: str
+    order: str
+    role: str
+    text: str
+
+    @property
+    def paths(self) -> tuple[str, ...]:
+        return (self.conversation, self.order, self.role, self.text)
+
+
+LAYOUTS |= {
+    "turn_rows": TurnRows("conv_id", "turn", "role", "text"),
+    "message_rows": TurnRows("conversation_id", "message_index", "sender", "message"),
+    "thread_rows": TurnRows("thread_id", "position", "author", "body"),
+}
+#: What a record's fingerprint is made of: the paths that some layout uses; all others don't count.
+KNOWN = sorted({p for m in LAYOUTS.values() for p in m.paths})
+BY_FINGERPRINT = {fingerprint(list(m.paths)): name for name, m in LAYOUTS.items()}
 _ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -98,77 +116,74 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
-def format_records(df: DataFrame) -> DataFrame:
-    """Nested records, one conversation a row, all of one layout: ``df`` with ``turns`` and ``formatted``.
+def _canonical(turns: Column) -> Column:
+    """Empty where null, roles by their canonical names."""
+    turns = F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>"))
+    return F.transform(turns, lambda t: F.struct(_role(t["role"]).alias("role"), t["text"].alias("text")))
 
-    The fingerprint of the table's nested field paths selects the mapping; the
-    paths of further columns, whose names no layout uses, don't count. Raises
-    ValueError for a layout that no mapping knows. Null arrays are
-    conversations without turns, null roles and texts are empty.
-    """
-    known = {p.split("[")[0].split(".")[0] for m in LAYOUTS.values() for p in m.paths}
-    found = fingerprint([p for f in df.schema.fields if f.name in known for p in field_paths(f.dataType, f.name)])
-    for mapping in LAYOUTS.values():
-        if mapping.fingerprint == found:
-            turns = F.coalesce(mapping.turns(lambda p: F.col(f"`{p}`")), F.array().cast("array<struct<role:string,text:string>>"))
-            turns = F.transform(turns, lambda t: F.struct(_role(t["role"]).alias("role"), t["text"].alias("text")))
-            return df.withColumn("turns", turns).withColumn("formatted", render(F.col("turns")))
-    raise ValueError(f"no mapping for the layout with fingerprint {found}")
-
-
-def format_json(df: DataFrame, json_col: str) -> DataFrame:
-    """Heterogeneous records as JSON text: ``df`` with ``layout``, ``turns`` and ``formatted``.
-
-    Each row's nested field paths are hashed where the row is, and the hash
-    selects the row's mapping. Rows that are null, no JSON object or of an
-    unknown layout stay, with null in the three columns.
-    """
-    raw = F.schema_of_variant(F.try_parse_json(F.col(json_col)))
-    shape = F.regexp_replace(raw, r"\b(STRING|VOID|BIGINT|BOOLEAN|DOUBLE|DECIMAL\(\d+,\s*\d+\))", "STRING")
-    print_ = F.sha2(shape, 256)
-    schema = {name: _json_schema(m.paths) for name, m in LAYOUTS.items()}
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for name, mapping in LAYOUTS.items():
-        is_it = print_ == F.sha2(F.lit(_variant_shape(mapping.paths)), 256)
-        parsed = F.from_json(F.col(json_col), schema[name])
-        layout = F.when(is_it, F.lit(name)).otherwise(layout)
-        turns = F.when(is_it, mapping.turns(lambda p, parsed=parsed: parsed[p])).otherwise(turns)
-    turns = F.transform(turns, lambda t: F.struct(_role(t["role"]).alias("role"), t["text"].alias("text")))
-    return df.withColumn("layout", layout).withColumn("turns", turns).withColumn("formatted", render(F.col("turns")))
 
+def format_table(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
+    """A table of one layout, whichever: the fingerprint of its nested field paths selects the mapping, which names the columns.
 
-def _tree(paths: tuple[str, ...]) -> dict[str, list[str]]:
-    tree: dict[str, list[str]] = {}
-    for p in paths:
-        head, _, leaf = p.partition("[].")
-        tree.setdefault(head, []).extend([leaf] if leaf else [])
-    return tree
+    Paths that no layout uses don't count. Raises ValueError for a layout that
+    no mapping knows.
 
+    - Nested records, one conversation a row: ``df`` with ``turns`` and
+      ``formatted`` (columns of these names are replaced). Null arrays are
+      conversations without turns.
+    - Rows by turn: ``<conversation>, formatted``, one row a conversation. Turns
+      go by their order, ties by role and text, a null order first; a null
+      conversation is one; repeated rows are repeated turns; roles stay as
+      they are. A conversation is one row of the result and so has to fit in
+      memory.
 
-def _variant_shape(paths: tuple[str, ...]) -> str:
-    inner = lambda leaves: f"ARRAY<OBJECT<{', '.join(f'{x}: STRING' for x in sorted(leaves))}>>" if leaves else "STRING"
-    return f"OBJECT<{', '.join(f'{k}: {inner(v)}' for k, v in sorted(_tree(paths).items()))}>"
+    Null roles and texts are empty; an empty table gives an empty result.
+    """
+    found = fingerprint([p for f in df.schema.fields for p in field_paths(f.dataType, f.name) if p in KNOWN])
+    if found not in BY_FINGERPRINT:
+        raise ValueError(f"no mapping for the layout with fingerprint {found}")
+    layout = LAYOUTS[BY_FINGERPRINT[found]]
+    if isinstance(layout, Mapping):
+        out = df.withColumn("turns", _canonical(layout.turns(lambda p: F.col(f"`{p}`"))))
+        return out.withColumn("formatted", render(F.col("turns"), loss_role))
+    turn = F.struct(F.col(layout.order).alias("at"), F.coalesce(layout.role, F.lit("")).alias("role"), F.coalesce(layout.text, F.lit("")).alias("text"))
+    grouped = df.groupBy(layout.conversation).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return grouped.select(layout.conversation, render(F.col("turns"), loss_role).alias("formatted"))
 
 
-def _json_schema(paths: tuple[str, ...]) -> str:
-    inner = lambda leaves: f"array<struct<{','.join(f'`{x}`:string' for x in leaves)}>>" if leaves else "string"
-    return f"struct<{','.join(f'`{k}`:{inner(v)}' for k, v in _tree(paths).items())}>"
+def _under(array: str) -> Callable[[Column], Column]:
+    return lambda key: F.concat(F.lit(f"{array}[]."), key)
 
 
-def format_turn_rows(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """A table with one row a turn: ``conv_id, formatted``, one row a conversation.
+def format_json(df: DataFrame, json_col: str) -> DataFrame:
+    """Heterogeneous records as JSON text: ``df`` with ``layout``, ``turns`` and ``formatted`` (columns of these names are replaced).
 
-    The table must hold the field paths of TURN_ROWS (further columns are not
-    looked at); their fingerprint selects the mapping. Turns go by ``turn``,
-    ties by role and text; a null turn comes first. Null roles and texts are
-    empty, a null conv_id is one conversation. Repeated rows are repeated turns.
+    Each row's nested field paths are hashed where the row is, and the hash
+    selects the row's mapping. Paths that no layout uses don't count, be they
+    further keys of the record or of a message; an empty array stands for one
+    of its layout. Rows that are null, no JSON object or of an unknown layout
+    stay, with null in the three columns.
     """
-    found = fingerprint([p for p in (q for f in df.schema.fields for q in field_paths(f.dataType, f.name)) if p in TURN_ROWS])
-    if found != fingerprint(list(TURN_ROWS)):
-        raise ValueError("the table's layout isn't that of rows by turn")
-    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = F.array_sort(F.collect_list(turn))
-    return df.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", render(F.col("turns"), loss_role).alias("formatted"))
+    nested = {name: m for name, m in LAYOUTS.items() if isinstance(m, Mapping)}
+    arrays = {p.split("[].")[0]: [q for q in m.paths] for m in nested.values() for p in m.paths if "[]." in p}
+    flat = sorted({p for m in nested.values() for p in m.paths if "[]." not in p})
+    kinds = [f"`{a}`:array<map<string,string>>" for a in arrays] + [f"`{p}`:string" for p in flat]
+    rec = F.from_json(F.col(json_col), f"struct<{','.join(kinds)}>")
+    keys = F.coalesce(F.json_object_keys(json_col), F.array().cast("array<string>"))
+    paths = [F.array_intersect(keys, F.array(*map(F.lit, flat)))]
+    for name, leaves in arrays.items():
+        inside = F.array_distinct(F.flatten(F.transform(rec[name], F.map_keys)))
+        inside = F.transform(inside, _under(name))
+        every = F.array(*map(F.lit, leaves))
+        own = F.when(F.size(rec[name]) == 0, every).otherwise(F.array_intersect(inside, F.array(*[F.lit(p) for p in KNOWN if p.startswith(f"{name}[].")])))
+        paths.append(F.coalesce(own, F.array().cast("array<string>")))
+    print_ = F.sha2(F.array_join(F.array_sort(F.concat(*paths)), "\n"), 256)
+    layout = F.element_at(F.create_map(*[F.lit(x) for f, n in BY_FINGERPRINT.items() if n in nested for x in (f, n)]), print_)
+    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
+    for name, mapping in nested.items():
+        turns = F.when(F.col("layout") == name, mapping.turns(lambda p: rec[p])).otherwise(turns)
+    out = df.withColumn("layout", layout).withColumn("turns", F.when(F.col("layout").isNotNull(), _canonical(turns)))
+    return out.withColumn("formatted", render(F.col("turns")))
 
 
 def digest(formatted: DataFrame) -> DataFrame:

@@ -16,7 +16,27 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ok = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ok).alias("text"))
-    return chat.digest(chat.format_turn_rows(rows.unionByName(own)))
+    return chat.digest(chat.format_table(rows.unionByName(own)))
+
+
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 over records of four layouts, one a turn of ``conversations``, each turn's text as a question and its role as the answer."""
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("q"), F.coalesce("role", F.lit("")).alias("a"))
+    one = lambda role, text, names: F.struct(F.lit(role).alias(names[0]), F.col(text).alias(names[1]))
+    talk = lambda names, roles: F.array(one(roles[0], "q", names), one(roles[1], "a", names))
+    records = [
+        F.struct(talk(("role", "content"), ("user", "assistant")).alias("messages"), F.col("conv_id").alias("id")),
+        F.struct(talk(("from", "value"), ("human", "gpt")).alias("conversations")),
+        F.struct(F.col("q").alias("prompt"), F.col("a").alias("response")),
+        F.struct(F.col("a").alias("output"), F.col("q").alias("instruction"), F.lit("x").alias("origin")),
+    ]
+    which = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    json = F.to_json(records[3])
+    for k in range(3):
+        json = F.when(which == k, F.to_json(records[k])).otherwise(json)
+    out = chat.format_json(rows.select("conv_id", "turn", json.alias("json")), "json")
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", "turn", "layout", F.sha2(turns, 256).alias("turns_sha256"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +85,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "chat_layouts": chat_layouts,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_minhash_near": op4_minhash_near,
@@ -91,6 +112,10 @@ select conv_id, count(*) as n_turns,
     + length(regexp_replace(role || text, '[^<\[\\]', '', 'g'))
     + case when role = 'assistant' then 9 else 8 end + 8 + 7) as bigint) as formatted_chars
 from t group by conv_id""",
+    "chat_layouts": r"""
+select conv_id, turn, ['messages', 'conversations', 'prompt_response', 'instruction'][1 + (conv_id + turn) % 4] as layout,
+  sha256('user' || chr(10) || coalesce(text, '') || chr(10) || 'assistant' || chr(10) || coalesce(role, '') || chr(10)) as turns_sha256
+from conversations""",
     "op2_substring_dedup": r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 z as (select doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: {'pos': i, 'run': md5(array_to_string(w[i:i+19], ' '))})) as z from d where len(w) >= 20),
