@@ -1,4 +1,4 @@
-"""Toxicity by compression distance: window lengths under zstandard dictionaries of toxic and of ordinary text."""
+"""Toxicity by compression distance: window lengths under zstandard dictionaries trained on toxic and on ordinary text."""
 
 from __future__ import annotations
 
@@ -23,6 +23,10 @@ MOST = (4000, 2000)
 WINDOW = 5
 #: Bytes of a stem. Words that share more have a stem of the most bytes in common, so none is lost, and a long run without white space costs no more than its length.
 STEM, LONGEST = 6, 64
+#: Bytes of a segment that the trainer takes at once, and of a dictionary at most.
+SEGMENT, LARGEST = 32, 1 << 16
+#: Times that a word or stem is trained on.
+OFTEN = 8
 #: Begins each window and ends both dictionaries. Its match pays for the first sequence of a frame, so that any further one shows.
 _LEAD = bytes(range(1, 13))
 #: Thresholds of a window's difference, in bytes.
@@ -56,29 +60,51 @@ def _spread(texts: list[str], among: Container[bytes] | None = None) -> tuple[Co
     return seen, total
 
 
-def dictionary(own: list[str], other: list[str]) -> bytes:
-    """What sets a class's text apart: all words and stems that occur in more texts than the other class lets expect, the most telling last, where offsets are short.
+def telling(own: list[str], other: list[str]) -> set[bytes]:
+    """Words and stems that occur in more texts than the other class lets expect.
 
-    A word qualifies when its log-likelihood ratio is over twice the logarithm
-    of how many were tried, so that chance hardly lets one in, however many
-    there are. Of words on one qualifying stem the stem alone is written, as
-    long as a longer one doesn't occur nearly as often.
+    One qualifies when its log-likelihood ratio is over twice the logarithm of
+    how many were tried, so that chance hardly lets one in, however many there
+    are.
     """
     a, n_own = _spread(own)
     a = {x: n for x, n in a.items() if n >= 4}
     b, n_other = _spread(other, a)
-    least, score = 2 * np.log(len(a) + 1), {}
+    least, out = 2 * np.log(len(a) + 1), set()
     for x, n in a.items():
         expected = (b[x] + 0.5) / max(1, n_other) * n_own
-        if n > expected and (s := n * np.log(n / expected) - (n - expected)) > least:
-            score[x] = s
-    longer = Counter()
-    for x in score:
-        for k in range(STEM, min(len(x), LONGEST + 1)):
-            longer[x[:k]] = max(longer[x[:k]], a[x])
-    whole = {x for x in score if longer[x] < 0.8 * a[x]}
-    best = sorted((x for x in whole if not any(x[:k] in whole for k in range(STEM, min(len(x), LONGEST + 1)))), key=lambda x: (score[x], x))
-    return b" " + b" ".join(best) + b" " + _LEAD
+        if n > expected and n * np.log(n / expected) - (n - expected) > least:
+            out.add(x)
+    return out
+
+
+def dictionary(own: list[str], other: list[str]) -> bytes:
+    """A dictionary that zstandard trains on the class's texts.
+
+    What both classes write alike would fill it, so each text is trained on
+    without the words that don't set the classes apart (``telling``), and
+    without those it has seen OFTEN times, lest the frequent crowd out the rest. The
+    trainer picks the segments that cover most; it has room for all words four
+    times over and takes what it needs. Where the texts are too few to train
+    on, they are the dictionary themselves.
+    """
+    marks, seen = telling(own, other), Counter()
+    samples = []
+    for text in own:
+        rest = []
+        for w in tokens(text):
+            mark = next((w[:k] for k in range(STEM, min(len(w), LONGEST + 1)) if w[:k] in marks), w if w in marks else None)
+            if mark and seen[mark] < OFTEN:
+                seen[mark] += 1
+                rest.append(w)
+        if rest:
+            samples.append((b" " + b" ".join(rest) + b" ").ljust(8))
+    size = sum(len(w) + 1 for w in {w for x in samples for w in x.split()})
+    try:
+        content = zstandard.train_dictionary(min(LARGEST, max(512, 4 * size)), samples, k=SEGMENT, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        content = b"".join(dict.fromkeys(samples))[-LARGEST:]
+    return content + b" " + _LEAD
 
 
 @dataclass
@@ -133,7 +159,7 @@ def fit(texts: list[str], labels: list[int], counts: tuple[int, int]) -> Model:
     n = len(_STEPS) + 4
     prior = (counts[1] + 1) / (sum(counts) + 2)
     flat = Model(_LEAD, _LEAD, np.array([0.0] * n + [np.log(prior / (1 - prior))]), np.zeros(n), np.ones(n))
-    pairs = list(dict.fromkeys(zip(texts, labels, strict=True)))
+    pairs = list(dict.fromkeys(zip(texts, labels, strict=True)))  # copies count once
     by = [[t for t, y in pairs if y == c] for c in (0, 1)]
     learn = [[t for i, t in enumerate(p) if i % 5 < 3] for p in by]
     rest = [[t for i, t in enumerate(p) if i % 5 >= 3] for p in by]
@@ -158,9 +184,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """``docs``, all columns, with ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
     Learns from up to MOST labelled rows of each class of ``labels`` (columns
-    ``<id>, toxic``) that aren't held out: a dictionary of all of each class's
-    telling words, then a calibration of how much shorter windows of WINDOW words come
-    out under the toxic one. Every text is scored whole, from its text alone.
+    ``<id>, toxic``) that aren't held out: a dictionary trained on each class,
+    then a calibration of how much shorter windows of WINDOW words come out
+    under the toxic one. Every text is scored whole, from its text alone.
 
     Null and empty texts get the score of a text without telling windows; null
     ids aren't held out. Without labels of both classes all scores are the
