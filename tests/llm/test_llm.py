@@ -233,41 +233,162 @@ def test_pii_whole_table(spark):
 def test_chat(spark):
     rows = [(1, 1, "assistant", r"\<|end|> [x] <"), (1, 0, "user", None), (2, 0, None, "<|reply|>\\"), (None, None, "user", "")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
-    out = {r.conv_id: r for r in chat.format_turn_rows(df).withColumn("back", chat.read_turns(F.col("formatted"))).collect()}
+    out = {r.conv_id: r for r in chat.format_table(df).withColumn("back", chat.read_turns(F.col("formatted"))).collect()}
     assert [tuple(t) for t in out[1].back] == [("user", "", False), ("assistant", r"\<|end|> [x] <", True)]
     assert [tuple(t) for t in out[2].back] == [("", "<|reply|>\\", False)]
     assert out[1].formatted.count("<|end|>") == 2
-    json = spark.createDataFrame(
-        [('{"messages":[{"role":"human","content":"a"},{"role":"gpt","content":"b"}]}',), ('{"output":"d","instruction":"c"}',), ('{"prompt":"e","response":"f"}',), ('{"z":1}',), ("no",), (None,)], "j string"
-    )
-    got = [(r.layout, [tuple(t) for t in r.turns or []]) for r in chat.format_json(json, "j").collect()]
-    assert got[:3] == [("messages", [("user", "a"), ("assistant", "b")]), ("instruction", [("user", "c"), ("assistant", "d")]), ("prompt_response", [("user", "e"), ("assistant", "f")])]
-    assert got[3:] == [(None, [])] * 3
+    records = [
+        '{"messages":[{"role":"human","content":"a"},{"role":"gpt","content":"b","name":"x"}],"id":7}',
+        '{"output":"d","instruction":"c","meta":{"k":[1]}}',
+        '{"prompt":"e","response":"f"}',
+        '{"messages":[]}',
+        '{"messages":[{"role":"user","content":null}]}',
+        '{"conversations":[{"from":"human","value":"g"}]}',
+        '{"instruction":"h","input":"i","output":"j"}',
+        '{"z":1}',
+        '{"prompt":"alone"}',
+        "no",
+        None,
+    ]
+    json = spark.createDataFrame([(k, j, "x") for k, j in enumerate(records)], "k int, j string, layout string")
+    got = [(r.layout, None if r.turns is None else [tuple(t) for t in r.turns]) for r in chat.format_json(json, "j").orderBy("k").collect()]
+    assert got == [
+        ("messages", [("user", "a"), ("assistant", "b")]),
+        ("instruction", [("user", "c"), ("assistant", "d")]),
+        ("prompt_response", [("user", "e"), ("assistant", "f")]),
+        ("messages", []),
+        ("messages", [("user", "")]),
+        ("conversations", [("user", "g")]),
+        ("instruction_input", [("user", "h\ni"), ("assistant", "j")]),
+        *[(None, None)] * 4,
+    ]
+    records = json.limit(1).select("k", F.from_json("j", "messages array<struct<role:string,content:string,name:string>>").alias("m")).select("k", "m.messages")
+    assert [tuple(t) for t in chat.format_table(records).first().turns] == [("user", "a"), ("assistant", "b")]
+    other = df.withColumnsRenamed({"conv_id": "thread_id", "turn": "position", "role": "author", "text": "body"})
+    assert {r.thread_id: r.formatted for r in chat.format_table(other).collect()} == {k: r.formatted for k, r in out.items()}
+    assert chat.format_table(df.limit(0)).count() == 0
+    twice = chat.format_table(df.where("conv_id = 1").unionAll(df.where("conv_id = 1"))).withColumn("back", chat.read_turns(F.col("formatted"))).first()
+    assert len(twice.back) == 4
     with pytest.raises(ValueError):
-        chat.format_records(df)
+        chat.format_table(df.select("conv_id", "text"))
 
 
-@pytest.mark.parametrize(("module", "name", "good"), [(toxicity.toxicity, "toxic", 0.85), (quality.quality, "quality", 0.95)])
+@pytest.mark.parametrize(("module", "name", "good"), [(toxicity.toxicity, "toxic", 0.65), (quality.quality, "quality", 0.95)])
 def test_classifiers(spark, module, name, good):
+    """Held-out recall, averaged over both classes, so that a constant gets 0.5."""
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     rows = module(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r[name] for r in rows) / len(rows) >= good
-    odd = docs_of(spark, [None, "", "x " * 3000], [None, None, 5])
-    assert all(0 <= r.score <= 1 for r in module(odd, labels).collect())
-    assert module(odd, labels.limit(0)).count() == 3
+    recall = [sum(r.predicted == c for r in rows if r[name] == c) / sum(r[name] == c for r in rows) for c in (0, 1)]
+    assert sum(recall) / 2 >= good, recall
+    odd = docs_of(spark, [None, "", "x " * 3000, "y" * 10**5, "same", "same"], [None, None, 5, 6, 7, 7])
+    # names that the sample's own columns have
+    odd = odd.withColumnsRenamed({"n": "y", "h": "of"}).withColumn("score", F.lit("old"))
+    out = module(odd, labels).collect()
+    assert all(0 <= r.score <= 1 for r in out) and len({r.score for r in out if r.doc_id == 7}) == 1
+    assert {"y", "of", "score"} < set(module(odd, labels).columns)
+    assert module(odd, labels.limit(0)).count() == 6
     assert module(odd.limit(0), labels).count() == 0
 
 
+def test_toxicity_by_hand():
+    """Scores again from single calls of zstandard, window by window."""
+    import zstandard
+
+    rng = random.Random(1)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    text = lambda *more: " ".join(rng.sample([*rng.choices(plain, k=30), *more], 30 + len(more)))
+    texts = [text("badword", "worseword") for _ in range(60)] + [text() for _ in range(120)]
+    m = toxicity.fit(texts, [1] * 60 + [0] * 120, (120, 60)).open()
+    for t in ["", texts[0], texts[-1], "badword " * 50]:
+        words, d = t.lower().encode().split(), []
+        for i in range(0, len(words), 5):
+            w = bytes(range(1, 13)) + b" " + b" ".join(words[i : i + 5]) + b" "
+            sizes = []
+            for content in (m.ordinary, m.toxic):
+                size = max(len(m.toxic), len(m.ordinary)).bit_length()
+                how = zstandard.ZstdCompressionParameters(
+                    window_log=max(14, size + 1), chain_log=max(12, size), hash_log=max(12, size), search_log=4, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_dict_id=0
+                )
+                sizes.append(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(w)))
+            d.append(sizes[0] - sizes[1])
+        assert m.differences(t).tolist() == (d or [0])
+    assert m.score(texts[0]) > 0.5 > m.score(texts[-1])
+
+
+def test_quality_by_hand(spark):
+    """Scores again by comparing each text with each labelled one in turn."""
+    import numpy as np
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma"] if i % 2 else ["!!!", "123", "zzz"]) for _ in range(rng.randrange(1, 40))) for i in range(90)]
+    m = quality.fit(texts, [i % 2 for i in range(90)], (45, 45))
+    for t in [*texts[:20], "", "alpha 123"]:
+        x = m.terms([t])[0] @ m.basis
+        x = x / max(np.linalg.norm(x), 1e-9)
+        near = sorted(((float(x @ v), i) for i, v in enumerate(m.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(c, 0) ** quality.POWER * m.weights[i], m.labels[i]) for c, i in near]
+        total = sum(v for v, _ in votes)
+        want = sum(v * y for v, y in votes) / total if total else m.prior
+        assert abs(m.scores([t])[0] - want) < 1e-3
+
+
 def test_pipeline(spark):
-    out = corpus_pipeline.run(spark, DIR).toPandas()
-    source = spark.read.parquet(f"{DIR}/documents.parquet")
-    docs = source
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
-        docs = stage(spark, docs, DIR)
-        assert docs.columns == source.columns, k
-    kept = {r.doc_id for r in docs.collect()}
-    assert set(out.doc_id) <= kept and out.copies.between(1, 3).all()
+    """Each stage on its own input against brute force; toxicity against the operator's scores, which have their own test."""
+    source = spark.read.parquet(f"{DIR}/documents.parquet").withColumn("extra", F.lit(1))
+    odd = [(10**6, None, None, None, None, 1), (10**6 + 1, "", "en", "s", 0, 1), (10**6 + 2, "", "en", None, 0, 1), (None, "no id", "en", "s", 5, 1)]
+    docs = source.unionByName(spark.createDataFrame(odd, source.schema))
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "mixing"]
+
+    def step(name, docs):
+        out = stages[name](spark, docs, DIR).cache()
+        assert name == "mixing" or out.columns == docs.columns
+        return out
+
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    left = step("toxicity", docs)
+    scored = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    assert {r.doc_id for r in left.collect()} == {i for i, s in scored.items() if s < 0.3}
+
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    rows, first = left.collect(), {}
+    for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0)):
+        first.setdefault(norm(r.text), r.doc_id)
+    left = step("exact_dedup", left)
+    assert sorted((r.doc_id is None, r.doc_id) for r in left.collect()) == sorted((i is None, i) for i in first.values())
+
+    rows = sorted(left.where("doc_id is not null").collect(), key=lambda r: r.doc_id)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words_of(r.text)) else set() for r in rows]
+    by, root = defaultdict(list), list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for k, s in enumerate(sets):
+        shared = defaultdict(int)
+        for g in s:
+            for j in by[g]:
+                shared[j] += 1
+            by[g].append(k)
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                a, b = sorted((find(j), find(k)))
+                root[b] = a
+    left = step("near_dedup", left)
+    assert {r.doc_id for r in left.collect()} - {None} == {rows[i].doc_id for i in range(len(rows)) if root[i] == i}
+
+    shingles = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words_of(t)) else set()
+    items = [s for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect() if (s := shingles(r.text))]
+    clean = {r.doc_id for r in left.collect() if not any(100 * len(s & shingles(r.text)) >= 80 * len(s) for s in items)}
+    left = step("decontamination", left)
+    assert {r.doc_id for r in left.collect()} == clean
+
+    size = {r.doc_id: (r.source, len(re.findall(WS, r.text or ""))) for r in left.collect()}
+    taken = {r.doc_id: r.copies for r in step("mixing", left).collect()}
+    told = {r.doc_id: r.taken for r in mixing.mix(left).collect()}
+    assert set(taken) <= set(size) and all(1 <= c <= 3 for c in taken.values())
+    assert {i: n for i, n in told.items() if n} == {i: c * size[i][1] for i, c in taken.items()}
+    assert corpus_pipeline.STAGES[0][1](spark, docs.limit(0), DIR).count() == 0
+    out = corpus_pipeline.run(spark, DIR)
+    assert out.count() > 0 and set(source.columns) - {"extra"} | {"copies"} == set(out.columns)
 
 
 def test_toxicity_dictionary():
@@ -277,9 +398,11 @@ def test_toxicity_dictionary():
     text = lambda *more: " ".join(rng.sample([*rng.choices(plain, k=40), *more], 40 + len(more)))
     own = [text(*rng.sample(marks, 25)) for _ in range(200)] + [text("bomente" + rng.choice("abcdef") + rng.choice("ghijkl")) for _ in range(20)]
     other = [text() for _ in range(600)]
-    found = toxicity.dictionary(own, other).split(b" ")
-    # All 100 words that set the class apart, and the stem of a few texts whose forms are each too rare.
-    assert {m.encode() for m in marks} <= set(found) and sum(x.startswith(b"boment") for x in found) == 1
+    found = toxicity.dictionary(own, other)
+    # Nearly all of the 100 words that set the class apart (the trainer cuts some), and the stem of a few texts whose forms are each too rare.
+    assert found[:4] == (0xEC30A437).to_bytes(4, "little")  # a trained dictionary's mark
+    assert sum(m.encode() in found for m in marks) >= 95 and b"boment" in found
+    assert {m.encode() for m in marks} < toxicity.telling(own, other)
     # Words of a passage that texts share count once, of unlike texts that share long words each.
     shared = toxicity._spread([text() + " worthless passage of copies" for _ in range(9)])[0]
     assert shared[b"passage"] == 1 and toxicity._spread(own)[0][b"markaqwords"] == sum("markaqwords" in t for t in own)
