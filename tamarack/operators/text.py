@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions import estimate_tokens
@@ -63,27 +63,71 @@ def dictionary(candidates: DataFrame, most: int = 52) -> DataFrame:
     return best.select(alias_name(place).alias("alias"), "value")
 
 
+#: What reads as an alias; a literal one gets a dollar more in front.
+_ALIAS = r"^\$+[a-z]{1,2}$"
+
+
 def encode(rows: DataFrame, value: str, dictionary: DataFrame, out: str) -> DataFrame:
-    """A dictionary has 52 entries at most, so it is broadcast."""
+    """A dictionary has 52 entries at most, so it is broadcast. Values that read as an alias themselves are escaped."""
     d = F.broadcast(dictionary.select(F.col("alias").alias("__a"), F.col("value").alias("__v")))
-    return rows.join(d, F.col(value) == F.col("__v"), "left").withColumn(out, F.coalesce("__a", value)).drop("__a", "__v")
+    plain = F.when(F.col(value).rlike(_ALIAS), F.concat(F.lit("$"), value)).otherwise(F.col(value))
+    return rows.join(d, F.col(value) == F.col("__v"), "left").withColumn(out, F.coalesce("__a", plain)).drop("__a", "__v")
 
 
 def decode(rows: DataFrame, cell: str, dictionary: DataFrame, out: str) -> DataFrame:
     d = F.broadcast(dictionary.select(F.col("alias").alias("__a"), F.col("value").alias("__v")))
-    return rows.join(d, F.col(cell) == F.col("__a"), "left").withColumn(out, F.coalesce("__v", cell)).drop("__a", "__v")
+    plain = F.when(F.col(cell).rlike(r"^\$\$+[a-z]{1,2}$"), F.substring(F.col(cell), F.lit(2), F.length(cell))).otherwise(F.col(cell))
+    return rows.join(d, F.col(cell) == F.col("__a"), "left").withColumn(out, F.coalesce("__v", plain)).drop("__a", "__v")
+
+
+def merged(external: DataFrame, inline: DataFrame) -> DataFrame:
+    """``alias, value`` of both dictionaries; the inline one's entries take precedence."""
+    return external.join(F.broadcast(inline.select("alias")), "alias", "left_anti").unionByName(inline)
+
+
+def collapsed_runs(text: Column) -> Column:
+    """Runs of equal lines as one with its number, a literal mark escaped; empty lines and those that begin with @ or # stay. A fold over the text's lines, in its own row."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.replace(x, F.lit("(×"), F.lit("(\\×")))
+    start = F.array().cast("array<struct<line:string,n:int>>")
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        same = F.coalesce((last["line"] == x) & (F.trim(x) != "") & ~x.rlike("^[@#]"), F.lit(False))
+        more = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(x.alias("line"), (F.coalesce(last["n"], F.lit(0)) + 1).cast("int").alias("n"))))
+        return F.when(same, more).otherwise(F.concat(done, F.array(F.struct(x.alias("line"), F.lit(1).alias("n")))))
+
+    runs = F.aggregate(lines, start, step)
+    return F.array_join(F.transform(runs, lambda r: F.when(r["n"] > 1, F.concat(r["line"], F.lit(" (×"), r["n"].cast("string"), F.lit(")"))).otherwise(r["line"])), "\n")
+
+
+def expanded_runs(text: Column) -> Column:
+    mark = r"^(.*) \(×(\d+)\)$"
+    lines = F.transform(F.split(text, "\n"), lambda x: F.array_repeat(F.when(x.rlike(mark), F.regexp_extract(x, mark, 1)).otherwise(x), F.when(x.rlike(mark), F.regexp_extract(x, mark, 2).cast("int")).otherwise(1)))
+    return F.replace(F.array_join(F.flatten(lines), "\n"), F.lit("(\\×"), F.lit("(×"))
+
+
+def referenced_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``<id>, text``: later occurrences of a line of ``least`` characters or more as ``@L`` and the first one's place; other lines that begin with @ get one more. Each text in its own row."""
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    one = F.transform(F.col("l"), lambda x, i: F.when((F.length(x) >= least) & (F.array_position(F.col("l"), x) <= i), F.concat(F.lit("@L"), (F.array_position(F.col("l"), x) - 1).cast("string"))).otherwise(F.when(x.startswith("@"), F.concat(F.lit("@"), x)).otherwise(x)))
+    return docs.select(F.col(id_col), lines.alias("l")).select(id_col, F.array_join(one, "\n").alias("text"))
 
 
 def adjacent_prefixes(values: DataFrame, value: str, least: int = 8) -> DataFrame:
-    """Longest common prefixes of neighbours among the sorted distinct values, of ``least`` characters or more, with the number of values that extend each."""
-    v = values.select(F.col(value).alias("v")).where(F.col(value).isNotNull()).distinct()
-    head = v.withColumn("head", F.substring("v", 1, least))  # neighbours with a long enough common prefix share it
-    w = Window.partitionBy("head").orderBy("v")
-    pair = head.select("v", F.lag("v").over(w).alias("u")).where("u is not null")
-    size = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(F.length("u"), F.length("v")) + 1), lambda i: F.substring("u", i, F.lit(1)) != F.substring("v", i, F.lit(1)))), F.length("u") + 1) - 1
-    found = pair.select(F.substring("v", F.lit(1), size).alias("prefix")).where(F.length("prefix") >= least).distinct()
-    ext = found.join(v, F.col("v").startswith(F.col("prefix")) & (F.substring("v", 1, least) == F.substring("prefix", 1, least)) & (F.col("v") != F.col("prefix")))
-    return ext.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    """Longest common prefixes of neighbours among the sorted distinct values, of ``least`` characters or more, with the number of values that extend each.
+
+    p is the longest common prefix of two neighbours exactly when values go on
+    from it in two ways, one of which may be to end there. So each value's
+    prefixes are counted by the character that follows, with a combined
+    aggregate and no join, whatever all values have in common. Values count
+    once, and as many prefixes as a value has characters.
+    """
+    v = values.select(F.col(value).alias("v")).where(F.col(value).isNotNull() & (F.length(value) >= least)).distinct()
+    sizes = F.sequence(F.lit(least), F.length("v"))
+    each = v.select(F.explode(F.transform(sizes, lambda n: F.struct(F.substring("v", F.lit(1), n).alias("prefix"), F.substring("v", n + 1, F.lit(1)).alias("next")))).alias("p"))
+    ways = each.groupBy("p.prefix", "p.next").agg(F.count(F.lit(1)).alias("n"))
+    found = ways.groupBy("prefix").agg(F.count(F.lit(1)).alias("ways"), F.sum(F.when(F.col("next") != "", F.col("n")).otherwise(0)).alias("n"))
+    return found.where("ways >= 2 and n >= 3").select("prefix", "n")
 
 
 def adjacent_suffixes(values: DataFrame, value: str, least: int = 6) -> DataFrame:
