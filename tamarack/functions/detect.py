@@ -122,7 +122,7 @@ def detect(text: str) -> Found:
 def looks_like_code(text: str) -> bool:
     """Three lines or more with words and with structure of code."""
     words = re.search(r"\b(?:def|class|function|import|return|const|let|var|public|private|static|void|fn|func|struct|impl)\b", text)
-    shape = re.search(r"(?m)[;{}]\s*$|^\s*(?:def|class)\s.*:\s*$|=>|\)\s*:\s*$", text)
+    shape = re.search(r"(?m)[;{}]\s*(?://.*)?$|^\s*(?:def|class)\s.*:\s*(?:#.*)?$|=>|\)\s*:\s*$", text)
     return text.count("\n") >= 2 and bool(words and shape)
 
 

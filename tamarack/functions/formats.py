@@ -274,7 +274,8 @@ SINKS = {"json": to_json, "yaml": to_yaml, "csv": to_csv, "markdown": to_markdow
 
 
 def mapped(f, *args, schema: str = "string"):
-    """A column function from one on texts; null in, null out; a text that it refuses gives null."""
+    """A column function from one on texts; null in, null out; a text that it refuses gives null. Of a schema with several fields the function gives dicts."""
+    names = [f.split()[0] for f in schema.split(", ")] if ", " in schema and "<" not in schema else None
 
     def one(s):
         try:
@@ -284,7 +285,10 @@ def mapped(f, *args, schema: str = "string"):
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(one)
+            if names:
+                yield pd.DataFrame([one(x) or dict.fromkeys(names) for x in s], columns=names)
+            else:
+                yield pd.Series([one(x) for x in s], dtype=object)
 
     return F.pandas_udf(run, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions import estimate_tokens
@@ -42,3 +42,10 @@ def packed(items: DataFrame, key: str, order: list, tokens: str, budget: int) ->
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n"))
     rows = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(tokens).cast("long").alias("t")))).alias("a"))
     return rows.select(key, F.aggregate("a", start, fold).alias("s"), F.size("a").cast("long").alias("n_items")).select(key, F.col("s.used").alias("used"), F.col("s.n").alias("n_kept"), "n_items")
+
+
+def right_answer(said: Column, want: Column, tolerance: float = 0.05) -> Column:
+    """Whether an answer is the wanted one: equal once lower-cased and trimmed of white space, quotes and a last full stop, or numbers (signs of money and thousands aside) that differ by less than the tolerance."""
+    tidy = lambda x: F.regexp_replace(F.lower(x), r"^[\s\"'`]+|[\s\"'`.]+$", "")
+    value = lambda x: F.regexp_replace(tidy(x), r"^[$€£]|,|%$", "").try_cast("double")
+    return F.coalesce(tidy(said) == tidy(want), F.lit(False)) | F.coalesce(F.abs(value(said) - value(want)) < tolerance, F.lit(False))

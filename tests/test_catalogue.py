@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tamarack.plans import compaction  # noqa: F401 (registers its queries)
 from tamarack.plans.catalogue import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
