@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ._skew import join_groups
 from ._work import shared_dir, stash
 
+#: Bytes of openings that a round broadcasts at about most: those of its largest groups.
+HOT_BYTES = 4 << 20
 #: A run of white space other than one plain space; replacing these alone gives the same text as replacing all runs.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -28,7 +30,7 @@ def _split(rows: DataFrame, carry: str, text: str, first_bytes: int, growth: int
         parts = active.withColumn("head", F.substring(norm, offset + 1, width)).withColumn("ended", F.length(norm) <= offset + width)
         groups = parts.groupBy("gid", "head", "ended").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keep")).where("n > 1")
         groups = stash(groups.select("*", F.monotonically_increasing_id().alias("next"), F.col("ended").alias("end")), f"{top}/groups{k}")
-        joined = join_groups(parts, groups, {c: c for c in ("gid", "head", "ended")}, "n", ["n", "keep", "next", "end"], ["id", "sha"], inner=False)
+        joined = join_groups(parts, groups, {c: c for c in ("gid", "head", "ended")}, "n", ["n", "keep", "next", "end"], ["id", "sha"], inner=False, most=max(16, min(1000, HOT_BYTES // width)))
         open_ = F.coalesce(~F.col("end"), F.lit(False))
         step = joined.select(
             "id",
