@@ -226,8 +226,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     packed = rows.mapInArrow(_packed, f"id {kind}, z binary")
     packed = stash(packed.select("id", F.monotonically_increasing_id().alias("rid"), "z"), f"{top}/texts")
     found = packed.mapInArrow(_emit(window), f"id {kind}, rid long, at int, n int, anchor long, content binary")
-    twice = found.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
-    cand = stash(found.join(twice, "anchor", "left_semi"), f"{top}/candidates")
+    twice = stash(found.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"{top}/anchors")
+    cand = stash(join_groups(found, twice, {"anchor": "anchor"}, "m", ["m"], ["rid", "at"]).drop("m"), f"{top}/candidates")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid", "at")).alias("first")
     classes = cand.groupBy("anchor", "content", "n").agg(first, F.count(F.lit(1)).alias("m"))
     classes = stash(classes.select("anchor", "content", "n", "first.rid", "first.at", "m"), f"{top}/classes")
