@@ -27,7 +27,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: dict[str, str], count: s
     keys = [F.col(f"`{g}`").alias(f"__k{i}") for i, g in enumerate(on.values())]
     found = F.struct(*[F.col(f"`{c}`") for c in take])
     few = groups.where(hot).select(*keys, found.alias("__hot"))
-    many = groups.where(~hot).select(*[F.col(f"`{g}`").alias(f"__c{i}") for i, g in enumerate(on.values())], F.lit(0).cast("long").alias("__cs"), found.alias("__cold"))
+    # 0 as a value that the optimiser can't fold: a literal leaves the join's keys, and all rows of a hot group meet in one task
+    cold = F.least(F.col(count), F.lit(0)).cast("long").alias("__cs")
+    many = groups.where(~hot).select(*[F.col(f"`{g}`").alias(f"__c{i}") for i, g in enumerate(on.values())], cold, found.alias("__cold"))
     out = rows.join(F.broadcast(few), [F.col(f"`{r}`") == F.col(f"__k{i}") for i, r in enumerate(on)], "left")
     out = out.withColumn("__s", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(1 << 40)) + 1).otherwise(0).cast("long"))
     meet = [F.col(f"`{r}`") == F.col(f"__c{i}") for i, r in enumerate(on)] + [F.col("__s") == F.col("__cs")]

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tamarack.llm import _fm, _text, chat, decontam, exact, lines, mixing, near, pii, quality, queries, substring, toxicity
+from tamarack.llm import _fm, _skew, _text, chat, decontam, exact, lines, mixing, near, pii, quality, queries, substring, toxicity
 
 DIR = "/root/testdata/sf0.001"
 WS = r"[^\x20\x09-\x0D]+"
@@ -408,3 +408,20 @@ def test_toxicity_dictionary():
     assert shared[b"passage"] == 1 and toxicity._spread(own)[0][b"markaqwords"] == sum("markaqwords" in t for t in own)
     # A run of a million bytes without white space has few stems.
     assert len(toxicity._spread(["x" * 10**6])[0]) <= toxicity.LONGEST
+
+
+def test_hot_groups_are_spread_and_every_row_meets_its_group(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("u"), F.col("id").alias("v"))
+    groups = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = _skew.join_groups(rows, groups, {"u": "u"}, "k", ["m"], ["v"])
+        tasks = [r["count"] for r in joined.where("u = -1").groupBy(F.spark_partition_id()).count().collect()]
+        got = {(r.u, r.v, r.m) for r in joined.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(-1 if v % 3 == 0 else v, v, 0 if v % 3 == 0 else v) for v in range(6000)}
+    assert len(tasks) == 4 and sum(tasks) == 2000 and max(tasks) < 700
