@@ -15,12 +15,13 @@ def _asked(question: str, stopwords: frozenset[str] = frozenset()) -> list[str]:
 
 
 def best_lines(docs: DataFrame, question: str, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, pos, line, score``: each text's ``k`` lines of highest score, earlier first among equals.
+    """``id, pos, line, score``: each text's ``k`` lines of highest score, earlier first among equals to nine decimals.
 
     A line's score sums, over the question's words that it holds, ln(1 + n / (1 + d))
     with n lines in the text and d of them with the word. Weights come from the
     text itself, so rows are scored without a shuffle; only lines that score
-    are ranked. Null texts have no lines. A question without words finds none.
+    are ranked. Sums of different words can be equal but for the last bits, so
+    ranking rounds. Null texts have no lines. A question without words finds none.
     """
     asked = _asked(question, texts.STOPWORDS)
     if not asked:
@@ -32,7 +33,7 @@ def best_lines(docs: DataFrame, question: str, k: int, id_col: str = "doc_id", t
     line = rows.select("id", weights.alias("weights"), F.posexplode("lines").alias("pos", "at"))
     score = sum((F.when(F.array_contains("at.terms", q), F.col("weights")[i]).otherwise(0.0) for i, q in enumerate(asked)), F.lit(0.0))
     scored = line.select("id", "pos", "at.line", score.alias("score")).where("score > 0")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pos"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.round("score", 9).desc(), "pos"))
     return scored.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 

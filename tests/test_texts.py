@@ -41,6 +41,12 @@ def test_facts(spark):
     assert one(spark, None, texts.facts) == []
 
 
+def test_best_lines_ranks_equal_sums_by_place(spark):
+    """ln(7/3) + ln(15/7) is ln(5) but for the last bit: the first line stands before the last."""
+    docs = spark.createDataFrame([(1, "\n".join(["fox hen"] * 4 + ["fox", "hen", "hen", "pond"]))], "doc_id int, text string")
+    assert [r.pos for r in search.best_lines(docs, "fox hen pond", 1).collect()] == [0]
+
+
 def test_best_lines_and_tools(spark):
     docs = spark.createDataFrame([(1, "red fox\nred hen\nblue fox pond"), (2, None), (3, "")], "doc_id int, text string")
     got = [(r.id, r.pos) for r in search.best_lines(docs, "find the red pond", 2).orderBy("id", F.desc("score"), "pos").collect()]
