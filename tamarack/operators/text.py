@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions import estimate_tokens
+from tamarack.operators.phrases import repeated_phrases
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,13 +41,25 @@ def shared_lines(rows: DataFrame, text_col: str = "text", least_tokens: int = 4,
 
 
 def phrase_candidates(docs: DataFrame, sizes: int | Sequence[int], text_col: str = "text", least: int = 2) -> DataFrame:
-    """Runs of each of ``sizes`` words that pay for a dictionary entry, counted over all texts with a combined aggregate."""
+    """Runs of each of ``sizes`` words that pay for a dictionary entry, counted over all texts: of one size with a combined aggregate, of several in ``repeated_phrases``."""
+    if not isinstance(sizes, int):
+        several = [_paying(repeated_phrases(docs, more, text_col, least, _pays))] if (more := {k for k in sizes if k > 1}) else []
+        return reduce(DataFrame.unionByName, [*several, *(phrase_candidates(docs, k, text_col, least) for k in set(sizes) - more)])
     words = F.filter(F.split(F.coalesce(text_col, F.lit("")), r"[ \t\n\r]+"), lambda x: x != "")
-    at = lambda k: F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
-    runs = lambda k: F.transform(at(k), lambda i: F.array_join(F.slice("w", i, k), " "))
-    every = F.flatten(F.array(*map(runs, [sizes] if isinstance(sizes, int) else sizes)))
+    at = F.when(F.size("w") >= sizes, F.sequence(F.lit(1), F.size("w") - (sizes - 1))).otherwise(F.array().cast("array<int>"))
+    every = F.transform(at, lambda i: F.array_join(F.slice("w", i, sizes), " "))
     grams = docs.select(words.alias("w")).select(F.explode(every).alias("phrase"))
-    count = grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).withColumn("tokens", estimate_tokens(F.col("phrase")))
+    return _paying(grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+
+
+def _pays(n: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """As ``_paying``, before a phrase is written."""
+    tokens = np.maximum(1, -(-chars // 4))
+    return (tokens - 1) * n > tokens + 3
+
+
+def _paying(phrases: DataFrame) -> DataFrame:
+    count = phrases.withColumn("tokens", estimate_tokens(F.col("phrase")))
     return count.withColumn("net", (F.col("tokens") - 1) * F.col("n") - (F.col("tokens") + 3)).where("net > 0")
 
 
