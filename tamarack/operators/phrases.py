@@ -18,7 +18,7 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xB
 #: Which runs are kept, by numbers and characters.
 Worth = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Bytes of text taken together by a task, and words for which there is a bucket, within bounds.
-_CHUNK, _BUCKET, _BUCKETS = 16 << 20, 1_700_000, (16, 2048)
+_CHUNK, _BUCKET, _BUCKETS = 10 << 20, 1_000_000, (16, 2048)
 #: Segments counted at once, and phrases in a batch.
 _AT_ONCE, _BATCH = 500_000, 100_000
 #: Words are told apart as frequent by slots (of their lengths and first eight bytes); a slot of more than one word in so many is frequent, 10000 slots at most.
@@ -147,55 +147,60 @@ def _segments(first: np.ndarray, rank: np.ndarray, most: int) -> tuple[np.ndarra
 
 def _dealt(frequent: np.ndarray, buckets: int, most: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
         late = np.zeros(_SLOTS, np.uint64)
         late[frequent] = np.arange(1, len(frequent) + 1)
-        for columns in _chunks(batches):
-            ids, first, own = _words(columns)
-            if len(ids) < 2:
-                continue
-            offsets, body = np.frombuffer(own.buffers()[1], np.int64)[: len(own) + 1], np.frombuffer(own.buffers()[2], np.uint8)
-            h, place = _hashes(body, offsets[:-1], np.diff(offsets), 64), late[_slots(body, offsets[:-1], np.diff(offsets))]
-            rank = np.where(place > 0, place + np.uint64(1 << 63), h >> np.uint64(1))[ids]
-            at, left, right = _segments(first, rank, most)
-            start, size = at - left, 1 + left.astype(np.int64) + right
-            h = h[ids]
-            # Equal segments meet by their first, middle and last words; then they are compared by word.
-            key = _mixed(h[start] + _mixed(h[start + size - 1] + _mixed(h[start + (size >> 1)] + h[at] * _A) + left.astype(np.uint64)))
-            key = ((h[at] % np.uint64(buckets)) << np.uint64(52)) | (key >> np.uint64(12))
-            order = np.argsort(key)
-            key, start, size, left, right = key[order], start[order], size[order], left[order], right[order]
-            again = np.flatnonzero(key[1:] == key[:-1]) + 1
-            again = again[(left[again] == left[again - 1]) & (right[again] == right[again - 1])]
-            equal = np.ones(len(again), bool)
-            for j in range(2 * most - 1):
-                equal &= (size[again] <= j) | (ids[np.minimum(start[again] + j, len(ids) - 1)] == ids[np.minimum(start[again - 1] + j, len(ids) - 1)])
-            head = np.ones(len(key), bool)
-            head[again[equal]] = False
-            head = np.flatnonzero(head)
-            times = np.diff(np.append(head, len(key)))
-            order = np.argsort((key[head] >> np.uint64(52) << np.uint64(40)) | start[head].astype(np.uint64))
-            head, times = head[order], times[order].astype(np.int32)
-            key, start, size, left, right = key[head] >> np.uint64(52), start[head], size[head], left[head], right[head]
-            bound = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64))
-            rows = {"bucket": [], "parts": []}
-            for b in np.flatnonzero(np.diff(bound)).tolist():
-                s = slice(bound[b], bound[b + 1])
-                n = size[s]
-                codes, found = pd.factorize(ids[np.repeat(start[s] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-                codes = codes.astype(np.int32)
-                rank = np.argsort(-np.bincount(codes))
-                place = np.empty(len(rank), np.int32)
-                place[rank] = np.arange(len(rank), dtype=np.int32)
-                words = own.take(pa.array(found[rank]))
-                offsets = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
-                rows["bucket"].append(b)
-                rows["parts"].append([z.compress(words.buffers()[2].to_pybytes()[: offsets[-1]]), *_packed(np.diff(offsets)), *_packed(place[codes]), *_packed(left[s]), *_packed(right[s]), *_packed(times[s])])
-            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["parts"], pa.list_(pa.binary()))], ["bucket", "parts"])
+        yield from filter(None, (_chunk(columns, late, buckets, most) for columns in _chunks(batches)))
 
     return f
 
 
+def _chunk(columns: list[pa.Array], late: np.ndarray, buckets: int, most: int) -> pa.RecordBatch | None:
+    """A row for each bucket: its words, and by number the segments dealt to it. Arrays go as soon as they aren't needed, since executors run several tasks."""
+    z = zstandard.ZstdCompressor(level=3)
+    ids, first, own = _words(columns)
+    if len(ids) < 2:
+        return None
+    offsets, body = np.frombuffer(own.buffers()[1], np.int64)[: len(own) + 1], np.frombuffer(own.buffers()[2], np.uint8)
+    h, place = _hashes(body, offsets[:-1], np.diff(offsets), 64), late[_slots(body, offsets[:-1], np.diff(offsets))]
+    rank = np.where(place > 0, place + np.uint64(1 << 63), h >> np.uint64(1))[ids]
+    at, left, right = _segments(first, rank, most)
+    start, size = at - left, 1 + left.astype(np.int64) + right
+    h = h[ids]
+    # Equal segments meet by their first, middle and last words; then they are compared by word.
+    key = _mixed(h[start] + _mixed(h[start + size - 1] + _mixed(h[start + (size >> 1)] + h[at] * _A) + left.astype(np.uint64)))
+    key = ((h[at] % np.uint64(buckets)) << np.uint64(52)) | (key >> np.uint64(12))
+    order = np.argsort(key)
+    del h, at, rank
+    key, start, size, left, right = key[order], start[order], size[order], left[order], right[order]
+    again = np.flatnonzero(key[1:] == key[:-1]) + 1
+    again = again[(left[again] == left[again - 1]) & (right[again] == right[again - 1])]
+    equal = np.ones(len(again), bool)
+    for j in range(2 * most - 1):
+        equal &= (size[again] <= j) | (ids[np.minimum(start[again] + j, len(ids) - 1)] == ids[np.minimum(start[again - 1] + j, len(ids) - 1)])
+    head = np.ones(len(key), bool)
+    head[again[equal]] = False
+    head = np.flatnonzero(head)
+    times = np.diff(np.append(head, len(key)))
+    order = np.argsort((key[head] >> np.uint64(52) << np.uint64(40)) | start[head].astype(np.uint64))
+    head, times = head[order], times[order].astype(np.int32)
+    key, start, size, left, right = key[head] >> np.uint64(52), start[head], size[head], left[head], right[head]
+    bound = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64))
+    rows = {"bucket": [], "parts": []}
+    for b in np.flatnonzero(np.diff(bound)).tolist():
+        s = slice(bound[b], bound[b + 1])
+        n = size[s]
+        codes, found = pd.factorize(ids[np.repeat(start[s] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        codes = codes.astype(np.int32)
+        rank = np.argsort(-np.bincount(codes))
+        place = np.empty(len(rank), np.int32)
+        place[rank] = np.arange(len(rank), dtype=np.int32)
+        words = own.take(pa.array(found[rank]))
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+        rows["bucket"].append(b)
+        rows["parts"].append([z.compress(words.buffers()[2].to_pybytes()[: offsets[-1]]), *_packed(np.diff(offsets)), *_packed(place[codes]), *_packed(left[s]), *_packed(right[s]), *_packed(times[s])])
+    return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["parts"], pa.list_(pa.binary()))], ["bucket", "parts"])
+
+
 def _repeated(ids: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, times: np.ndarray, sizes: Collection[int], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Size, first words' places and numbers of the runs that occur ``least`` times.
 
@@ -247,7 +252,7 @@ def _counted(sizes: Collection[int], least: int, worth: Worth | None):
             planes = iter(planes)
             offsets = np.concatenate([[0], np.cumsum(_unpacked(planes, np.int64))])
             words.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(z.decompress(body))]))
-            for x, kind in ((ids, np.int32), (left, np.int8), (right, np.int8), (times, np.int32)):
+            for x, kind in ((ids, np.int32), (left, np.int16), (right, np.int16), (times, np.int32)):
                 x.append(_unpacked(planes, kind))
         coded = pa.chunked_array(words).dictionary_encode().combine_chunks()
         own, first = coded.indices.to_numpy(), np.cumsum([0, *map(len, words)])
@@ -303,4 +308,4 @@ def repeated_phrases(docs: DataFrame, sizes: Collection[int], text_col: str = "t
     frequent = np.array([r.slot for r in reversed(top[1:]) if r.n * _FREQUENT >= total], np.int64)
     buckets = min(max(total // _BUCKET, _BUCKETS[0]), _BUCKETS[1])
     dealt = texts.mapInArrow(_dealt(frequent, buckets, max(sizes)), "bucket int, parts array<binary>")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted(frozenset(sizes), least, worth), "phrase string, n long")
+    return dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_counted(frozenset(sizes), least, worth), "phrase string, n long")
